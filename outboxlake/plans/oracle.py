@@ -191,7 +191,7 @@ def judged(events: str) -> str:
     message = " ".join(f"WHEN reason0 = '{r}' THEN {m}" for _, r, m in rules)
     return f""",
 arrays AS (SELECT *, strlen(payload) AS size,
-  CASE WHEN json_valid(callbacks) THEN CASE WHEN json_type(callbacks) = 'ARRAY' THEN json_array_length(callbacks) END END AS n
+  CASE WHEN json_valid(callbacks) THEN CASE WHEN json_type(callbacks) = 'ARRAY' THEN CAST(json_array_length(callbacks) AS BIGINT) END END AS n
   FROM {events}),
 el0 AS (SELECT a.id, a.event_id, a.kind, a.created_at, a.size, a.n, p.pos, json_extract(a.callbacks, '$[' || p.pos || ']') AS el
   FROM arrays a, LATERAL (SELECT unnest(range(coalesce(a.n, 0))) AS pos) p),
@@ -224,7 +224,7 @@ checked_rows AS (SELECT d.*, e.kind, e.aggregate_type, e.aggregate_id, e.payload
   CASE WHEN nm.event_id IS NULL THEN 'Callback target missing: callback ''' || d.callback_name || ''' not found in event callbacks array'
    WHEN m.reason0 IS NOT NULL THEN 'Invalid data: callback ''' || d.callback_name || ''' failed structural revalidation at dispatch time: ' || m.message0 END AS spec_error
   FROM outbox_deliveries d JOIN outbox_events e USING (event_id) LEFT JOIN named nm ON nm.event_id = d.event_id AND nm.name = d.callback_name),
-timed AS (SELECT a.*, c.* EXCLUDE (created_at), c.attempts + 1 AS attempt,
+timed AS (SELECT a.*, c.*, c.attempts + 1 AS attempt,
   CASE WHEN a.failure_kind = 'timeout' THEN 'timeout' WHEN a.failure_kind IS NOT NULL THEN 'transient'
    WHEN a.status_code BETWEEN 200 AND 299 THEN 'ok' ELSE 'transient' END AS result,
   CASE WHEN a.failure_kind = 'timeout' THEN 'callback timeout' WHEN a.failure_kind = 'connection' THEN 'connection error: ' || a.error_detail

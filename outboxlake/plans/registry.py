@@ -39,7 +39,7 @@ WHOLE = Options(
 BATCH = Options(payload_size_limit=fixtures.PAYLOAD_LIMIT, jitter="none")
 CUTOFFS = retention.Cutoffs("2024-01-10", "2024-01-25")
 KEYS = {"k1": b"super-secret-key-32-bytes-minimum!!"}
-CURSOR = 1000
+CURSOR = 400
 SINCE = "2024-01-15 00:00:00"
 
 
@@ -913,13 +913,13 @@ def _(t: Tables):
     )
 
 
-_ALERT_ROWS = """SELECT 'dead_letters_accumulating' AS alert, started_at AS at FROM log WHERE result <> 'ok' AND exhausted
+_ALERT_ROWS = """SELECT 'dead_letters_accumulating' AS alert, started_at AS happened FROM log WHERE result <> 'ok' AND exhausted
  UNION ALL SELECT 'corrupted_rows', created_at FROM arrays WHERE n IS NULL AND size <= 1024"""
 
 
 @register(
     "alerts",
-    V + f""", slid AS (SELECT alert, date_trunc('minute', at) - to_minutes(k) AS window_start FROM ({_ALERT_ROWS}) r CROSS JOIN range(5) o(k))
+    V + f""", slid AS (SELECT alert, date_trunc('minute', happened) - to_minutes(k) AS window_start FROM ({_ALERT_ROWS}) r CROSS JOIN range(5) o(k))
  SELECT alert, window_start, window_start + INTERVAL 5 MINUTE AS window_end, count(*) AS occurrences FROM slid GROUP BY ALL""",
 )
 def _(t: Tables):
