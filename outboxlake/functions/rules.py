@@ -129,19 +129,46 @@ def element_name(element: Column) -> Column:
 
 
 def _typed_stage(c: Getter) -> dict[str, Column]:
+    """Fields by JSON type. One lambda per type keeps the generated code small."""
     element = c("element")
+    texts = ("name", "url", "mode", "signing_key_id")
+    numbers = (
+        "max_attempts",
+        "timeout_seconds",
+        "external_completion_timeout_seconds",
+        "max_completion_cycles",
+    )
     return {
-        "_name": element_name(element),
-        "_url": vj.text(element["url"]),
-        "_mode": F.coalesce(vj.text(element["mode"]), F.lit("managed")),
-        "_key": vj.text(element["signing_key_id"]),
-        "_attempts": vj.unsigned(element["max_attempts"]),
-        "_timeout": vj.unsigned(element["timeout_seconds"]),
-        "_external": vj.unsigned(element["external_completion_timeout_seconds"]),
-        "_cycles": vj.unsigned(element["max_completion_cycles"]),
+        "_texts": F.transform(F.array(*[element[f] for f in texts]), vj.text),
+        "_numbers": F.transform(F.array(*[element[f] for f in numbers]), vj.unsigned),
     }
 
 
+def _named(c: Getter) -> Getter:
+    """Readable names for the entries of the typed arrays."""
+
+    def text(i: int) -> Column:
+        return F.get(c("_texts"), F.lit(i))
+
+    def number(i: int) -> Column:
+        return F.get(c("_numbers"), F.lit(i))
+
+    def find(name: str) -> Column:
+        if name == "_mode":
+            return F.coalesce(text(2), F.lit("managed"))
+        if name in _TEXT_PLACE:
+            return text(_TEXT_PLACE[name])
+        if name in _NUMBER_PLACE:
+            return number(_NUMBER_PLACE[name])
+        return c(name)
+
+    return find
+
+
+_TEXT_PLACE = {"_name": 0, "_url": 1, "_key": 3}
+_NUMBER_PLACE = {"_attempts": 0, "_timeout": 1, "_external": 2, "_cycles": 3}
+
+
 def _lazy_stage(opts: Options):
     """Parts that need array functions; each is worked out only where it is present."""
     schemes = _schemes(opts)
@@ -156,7 +183,8 @@ def _lazy_stage(opts: Options):
             found = found.when(c("_host_kind") == urls.PRIVATE, CODE["url_private_host"])
         return {"_problem": found}
 
-    def stage(c: Getter) -> dict[str, Column]:
+    def stage(columns: Getter) -> dict[str, Column]:
+        c = _named(columns)
         headers, backoff = c("element")["headers"], c("element")["backoff_seconds"]
         checked_url = vj.chain_stages({"_url": c("_url")}, (*urls.STAGES, problem), "_problem")
         return {
@@ -216,7 +244,8 @@ def _first_bad_header(headers: Column) -> Column:
 
 
 def _code_stage(opts: Options):
-    def stage(c: Getter) -> dict[str, Column]:
+    def stage(columns: Getter) -> dict[str, Column]:
+        c = _named(columns)
         element = c("element")
         chain = (
             F.when(element.isNull(), CODE["not_an_object"])
@@ -431,18 +460,24 @@ def _target(c: Getter, opts: Options) -> Column:
 
 
 def _verdict_stage(opts: Options):
-    def stage(c: Getter) -> dict[str, Column]:
+    def stage(columns: Getter) -> dict[str, Column]:
+        c = _named(columns)
+        message = vj.bind(c("code"), lambda code: _message(_with_code(c, code), opts))
         reason = F.element_at(F.array(*[F.lit(r) for r in REASONS]), c("code") + 1)
         return {
             "label": F.coalesce(c("_name"), position_label(c("pos"))),
             "reason": F.when(c("code").isNotNull(), reason),
-            "message": F.when(c("code").isNotNull(), _message(c, opts)),
+            "message": F.when(c("code").isNotNull(), message),
             "target": F.when(c("code").isNull(), _target(c, opts)),
         }
 
     return stage
 
 
+def _with_code(c: Getter, code: Column) -> Getter:
+    return lambda name: code if name == "code" else c(name)
+
+
 def position_label(pos: Column) -> Column:
     return F.concat(F.lit("["), pos.cast("string"), F.lit("]"))
 

@@ -214,9 +214,11 @@ def retry_after_seconds(text: Column, now: Column) -> Column:
     """Retry-After as seconds: whole seconds or an HTTP date (0 when past), else NULL."""
     trimmed = F.regexp_replace(text, r"^\s+|\s+\z", "")
     whole = F.regexp_replace(trimmed, r"^\+", "").try_cast("bigint")
-    until = times.seconds_between(now.cast("timestamp_ntz"), times.http_date(trimmed))
+    # Rare and large, so kept out of the generated code.
+    date = vj.bind(trimmed, times.http_date)
+    until = times.seconds_between(now.cast("timestamp_ntz"), date)
     seconds = F.when(trimmed.rlike(r"^\+?[0-9]+\z"), whole.cast("double")).otherwise(
-        F.when(until < 0, 0.0).otherwise(until)
+        vj.bind(until, lambda seconds: F.when(seconds < 0, 0.0).otherwise(seconds))
     )
     return F.when(seconds <= MAX_RETRY_AFTER, seconds)
 

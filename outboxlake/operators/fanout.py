@@ -158,7 +158,7 @@ def _earlier_valid_twin(opts: Options) -> Column:
             F.exists(
                 F.slice("_siblings", F.lit(1), F.col("pos")),
                 lambda e: F.when(
-                    rules.element_name(e) == F.col("_name"), rules.is_valid(e, opts)
+                    rules.element_name(e) == F.get("_texts", F.lit(0)), rules.is_valid(e, opts)
                 ).otherwise(F.lit(False)),
             ),
         ),

@@ -115,7 +115,7 @@ def m_dead_letters_total(log: DataFrame) -> DataFrame:
 
 def _with_total(report: DataFrame, column: str) -> DataFrame:
     """Per callback and, as callback ``_all``, the total."""
-    return report.groupBy(F.cube(F.col("callback_name"))).agg(
+    return report.cube("callback_name").agg(
         F.sum(column).cast("bigint").alias("value"), F.grouping("callback_name").alias("_total")
     ).select(
         F.when(F.col("_total") == 1, ALL).otherwise(F.col("callback_name")).alias("callback"),
