@@ -26,8 +26,10 @@ from outboxlake.options import Options, Page
 from outboxlake.plans import fixtures, oracle
 from outboxlake.plans.fixtures import AS_OF
 from outboxlake.schemas import DELIVERY_COLUMNS, EVENT_COLUMNS
-from outboxlake.session import configure
+from outboxlake.session import STATE_STORE, configure, fresh_path
 from outboxlake.sources import tables
+from outboxlake.streaming import lifecycle
+from outboxlake.streaming import queries as streams
 
 WHOLE = Options(
     payload_size_limit=fixtures.PAYLOAD_LIMIT,
@@ -950,3 +952,130 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return alerts.stalled_windows(_run_log(t), "2024-01-01", "2024-02-01")
+
+
+# --- Streams -------------------------------------------------------------------------
+
+
+def _stream(t: Tables) -> DataFrame:
+    """The given events as a file stream."""
+    schema = t.base.schema
+    return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(
+        t.sf_dir
+    )
+
+
+def _sink(t: Tables) -> streams.DeliverySink:
+    return streams.DeliverySink(t.spark, fresh_path(t.spark, "deliveries"), t.deliveries)
+
+
+def _scheduled_stream(t: Tables, sink: streams.DeliverySink) -> None:
+    events = fixtures.derive_from(_stream(t), "outbox_events")
+    state = fresh_path(t.spark, "schedule-state")
+    streams.run_schedule(events, sink, WHOLE, state, AS_OF).awaitTermination()
+
+
+@register("stream_schedule", W + oracle.scheduled())
+def _(t: Tables):
+    sink = _sink(t)
+    _scheduled_stream(t, sink)
+    return sink.new_rows()
+
+
+@register("stream_rescan", W + f"SELECT {D} FROM outbox_deliveries WHERE false")
+def _(t: Tables):
+    sink = _sink(t)
+    _scheduled_stream(t, sink)
+    return streams.stream_rescan(t.events, sink, WHOLE, AS_OF, SINCE)
+
+
+@register("stream_dedupe", W + "SELECT DISTINCT event_id, label FROM judged")
+def _(t: Tables):
+    events = fixtures.derive_from(_stream(t), "outbox_events")
+    replayed = events.unionByName(fixtures.derive_from(_stream(t), "outbox_events"))
+    return streams.run_to_table(streams.stream_dedupe(replayed, WHOLE), "dedupe").select(
+        "event_id", "label"
+    )
+
+
+_CLOSED = "(SELECT max(created_at) FROM varied_events) - INTERVAL 1 MINUTE"
+
+
+@register(
+    "stream_metrics",
+    V + f"""SELECT kind, branch, date_trunc('minute', created_at) AS minute, count(*) AS value FROM varied_events JOIN branches USING (id)
+ GROUP BY ALL HAVING date_trunc('minute', created_at) + INTERVAL 1 MINUTE <= {_CLOSED}""",
+)
+def _(t: Tables):
+    events = fixtures.derive_from(_stream(t), "varied_events")
+    out = streams.run_to_table(streams.stream_metrics(events, WHOLE), "metrics")
+    return out.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+
+
+@register(
+    "stream_alerts",
+    V + f""", rows AS (SELECT created_at AS happened FROM arrays WHERE n IS NULL AND size <= 1024),
+ slid AS (SELECT 'corrupted_rows' AS alert, date_trunc('minute', happened) - to_minutes(k) AS window_start FROM rows CROSS JOIN range(5) o(k))
+ SELECT alert, window_start, window_start + INTERVAL 5 MINUTE AS window_end, count(*) AS occurrences FROM slid GROUP BY ALL
+ HAVING window_start + INTERVAL 5 MINUTE <= (SELECT max(happened) FROM rows) - INTERVAL 1 MINUTE""",
+)
+def _(t: Tables):
+    corrupt = fanout.corrupt_events(fixtures.derive_from(_stream(t), "varied_events"), WHOLE)
+    rows = alerts.occurrences(corrupt, alerts.CORRUPT_ROWS, F.col("created_at"))
+    out = streams.run_to_table(streams.stream_alerts(rows), "alerts")
+    return out.withColumns(
+        {n: F.col(n).cast("timestamp_ntz") for n in ("window_start", "window_end")}
+    )
+
+
+def _messages(t: Tables) -> DataFrame:
+    """Two messages per event: scheduled, then an attempt, a command for every 11th."""
+    return _stream(t).selectExpr(
+        "event_id + 1 AS delivery_id",
+        "event_id AS seq",
+        "CAST(ts AS TIMESTAMP) AS at",
+        "inline(array("
+        "named_struct('type', 'scheduled', 'order', 0, 'result', CAST(NULL AS STRING), 'error', CAST(NULL AS STRING), 'action', CAST(NULL AS STRING)),"
+        "named_struct('type', 'attempt', 'order', 1, 'result', CASE WHEN event_id % 3 = 0 THEN 'transient' ELSE 'ok' END,"
+        " 'error', CASE WHEN event_id % 3 = 0 THEN 'returned 503' END, 'action', CAST(NULL AS STRING)),"
+        "named_struct('type', 'command', 'order', 2, 'result', CAST(NULL AS STRING), 'error', CAST(NULL AS STRING), 'action',"
+        " CASE WHEN event_id % 11 = 0 THEN 'complete' WHEN event_id % 11 = 1 THEN 'abandon' END)))",
+    ).filter("type <> 'command' OR action IS NOT NULL").selectExpr(
+        "delivery_id",
+        "seq * 3 + order AS seq",
+        "at",
+        "type",
+        "CASE WHEN delivery_id % 2 = 0 THEN 'external' ELSE 'managed' END AS mode",
+        "6 AS max_attempts",
+        "3600L AS external_timeout_seconds",
+        "CAST(1 + delivery_id % 2 AS INT) AS max_cycles",
+        "result",
+        "error",
+        "action",
+    )
+
+
+_LIFECYCLE = """ SELECT delivery_id, cause, state, attempts, completion_cycles, dead_letter, last_error FROM (
+ SELECT event_id + 1 AS delivery_id, event_id % 3 = 0 AS failed, (event_id + 1) % 2 = 0 AS ext, event_id % 11 AS k, ts FROM events) m,
+ LATERAL (SELECT 'scheduled' AS cause, 'pending' AS state, 0 AS attempts, 0 AS completion_cycles, false AS dead_letter, CAST(NULL AS VARCHAR) AS last_error
+  UNION ALL SELECT 'attempt', CASE WHEN failed THEN 'pending' WHEN ext THEN 'external_pending' ELSE 'processed' END, 1, 0, false, CASE WHEN failed THEN 'returned 503' END
+  UNION ALL SELECT CASE WHEN k = 0 THEN 'complete' ELSE 'abandon' END, CASE WHEN k = 0 THEN 'processed' ELSE 'dead' END, 1, 0, k = 1,
+   CASE WHEN k = 1 THEN 'abandoned by operator' WHEN failed THEN 'returned 503' END WHERE k IN (0, 1)
+  UNION ALL SELECT 'timer', 'dead', 1, 1, true, 'external_completion_cycles_exhausted'
+   WHERE ext AND NOT failed AND k NOT IN (0, 1) AND ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE) s"""
+
+
+def _lifecycle(t: Tables) -> DataFrame:
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    out = streams.run_to_table(lifecycle.stream_lifecycle(_messages(t)), "lifecycle")
+    return out.drop("at")
+
+
+@register("stream_lifecycle", _LIFECYCLE)
+def _(t: Tables):
+    return _lifecycle(t)
+
+
+@register("stream_external_timeout", f"SELECT * FROM ({_LIFECYCLE}) x WHERE cause = 'timer'")
+def _(t: Tables):
+    return _lifecycle(t).filter(F.col("cause") == lifecycle.EXPIRED)
