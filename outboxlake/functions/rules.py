@@ -189,8 +189,12 @@ def _lazy_stage(opts: Options):
         checked_url = vj.chain_stages({"_url": c("_url")}, (*urls.STAGES, problem), "_problem")
         return {
             "_url_problem": F.when(
-                c("_url").isNotNull() & ~urls.plain(c("_url"), schemes), checked_url
-            ),
+                urls.plain(c("_url"), ("https", "http")),
+                F.when(
+                    ~c("_url").startswith("https:") & F.lit("http" not in schemes),
+                    CODE["url_bad_scheme"],
+                ),
+            ).when(c("_url").isNotNull(), checked_url),
             "_bad_header": F.when(headers.isNotNull(), _first_bad_header(headers)),
             "_backoff": F.when(
                 backoff.isNotNull(), F.transform(vj.elements(backoff), _backoff_entry)

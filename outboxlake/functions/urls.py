@@ -158,7 +158,7 @@ def has_userinfo(c: Getter) -> Column:
 
 
 def plain(url: Column, schemes: tuple[str, ...]) -> Column:
-    """Lower-case scheme and dotted name, optional port: nothing to refuse."""
+    """Lower-case scheme and dotted name, optional port: nothing but the scheme to refuse."""
     shape = (
         rf"^(?:{'|'.join(schemes)})://(?:[a-z0-9-]+\.)+[a-z][a-z0-9-]*"
         r"(?::[0-9]{1,4})?(?:[/?#][!-~]*)?\z"

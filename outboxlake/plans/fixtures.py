@@ -1,6 +1,6 @@
 """Outbox tables derived from the given ``events`` table.
 
-The SQL runs unchanged in Spark and, with two type names swapped, in DuckDB.
+The SQL runs in Spark and, with two type names swapped, in DuckDB.
 """
 
 from __future__ import annotations
@@ -147,6 +147,10 @@ TABLES = {
 }
 
 
+# In Spark each event is expanded in place instead of joined.
+_TWO_ROWS = "CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 AS pos) p"
+
+
 def derive(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     base = spark.read.parquet(f"{sf_dir}/events.parquet")
     return derive_from(base, table)
@@ -155,7 +159,8 @@ def derive(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def derive_from(base: DataFrame, table: str) -> DataFrame:
     view = f"fixture_{uuid.uuid4().hex}"
     base.createOrReplaceTempView(view)
-    derived = base.sparkSession.sql(TABLES[table].replace("FROM events", f"FROM {view}"))
+    sql = TABLES[table].replace(_TWO_ROWS, "LATERAL VIEW explode(array(0, 1)) p AS pos")
+    derived = base.sparkSession.sql(sql.replace("FROM events", f"FROM {view}"))
     base.sparkSession.catalog.dropTempView(view)
     return derived
 

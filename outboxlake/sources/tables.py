@@ -69,12 +69,15 @@ def _missing(schema: T.StructType) -> Column:
     return F.coalesce(*reasons)
 
 
-def _split(df: DataFrame, reason: Column, keys: list[str], order: str) -> Checked:
+def _split(
+    df: DataFrame, reason: Column, keys: list[str], order: str, landed: DataFrame
+) -> Checked:
     """Row checks first; among passing rows the lowest ``order`` per key is kept.
 
-    Only keys that occur more than once are looked at again. They are found by a count
-    that combines before the shuffle, so neither a hot key nor a block of copies ends up
-    in one task, and all other rows pass by without moving.
+    Only keys that occur more than once are looked at again. They are found on the key
+    columns of the landed table alone, by a count that combines before the shuffle, so
+    neither a hot key nor a block of copies ends up in one task, and all other rows pass
+    by without moving.
     """
     judged = df.withColumn("reason", reason)
     passing = judged.filter(F.col("reason").isNull()).drop("reason")
@@ -82,7 +85,7 @@ def _split(df: DataFrame, reason: Column, keys: list[str], order: str) -> Checke
         "copies", F.lit(1).cast("bigint")
     )
     repeated = measured(
-        passing.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys)
+        landed.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys)
     )
     single = passing.join(repeated, keys, "left_anti").select(*df.columns)
     copies = (
@@ -113,7 +116,7 @@ def check_events(events: DataFrame) -> Checked:
     array = vj.elements(vj.parse(F.col("callbacks")))
     empty = F.coalesce(F.size(array), F.lit(0)) <= 0
     reason = F.coalesce(_missing(EVENTS), F.when(empty, EMPTY_CALLBACKS))
-    return _split(events.select(*EVENTS.fieldNames()), reason, ["event_id"], "id")
+    return _split(events.select(*EVENTS.fieldNames()), reason, ["event_id"], "id", events)
 
 
 def check_deliveries(deliveries: DataFrame, events: DataFrame) -> Checked:
@@ -125,9 +128,7 @@ def check_deliveries(deliveries: DataFrame, events: DataFrame) -> Checked:
     reason = F.coalesce(
         _missing(DELIVERIES), bad_mode, F.when(F.col("_known").isNull(), ORPHAN)
     )
-    checked = _split(
-        joined, reason, ["event_id", "callback_name"], "id"
-    )
+    checked = _split(joined, reason, ["event_id", "callback_name"], "id", deliveries)
     return Checked(checked.rows.drop("_known"), checked.rejected.drop("_known"))
 
 
