@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +18,39 @@ from outboxlake.schemas import DELIVERY_COLUMNS
 @dataclass(frozen=True)
 class ScheduleResult:
     """``new_rows`` to append, ``rejects`` (every refused callback, also those whose row
-    lost to an earlier one), ``corrupt`` events and the one-row ``cursor``."""
+    lost to an earlier one), ``corrupt`` events and the one-row ``cursor``.
 
-    new_rows: DataFrame
-    rejects: DataFrame
-    corrupt: DataFrame
-    cursor: DataFrame
+    Each is planned on first use.
+    """
+
+    batch: DataFrame
+    deliveries: DataFrame
+    opts: Options
+    as_of: times.AsOf
+    start: int | Column
+
+    @cached_property
+    def new_rows(self) -> DataFrame:
+        judged = fanout.judge_callbacks(self.batch, self.opts, mark_duplicates=False)
+        # An array of n elements has at least 2n + 1 bytes, more than the 2n ordinals.
+        stride = self.batch.agg(F.coalesce(F.max(F.octet_length("callbacks")), F.lit(1)))
+        return append_deliveries(
+            delivery_candidates(judged), self.deliveries, self.as_of, stride.scalar(), self.start
+        )
+
+    @cached_property
+    def rejects(self) -> DataFrame:
+        return rejects(self.batch, self.opts)
+
+    @cached_property
+    def corrupt(self) -> DataFrame:
+        return fanout.corrupt_events(self.batch, self.opts)
+
+    @cached_property
+    def cursor(self) -> DataFrame:
+        start = self.start if isinstance(self.start, Column) else F.lit(self.start)
+        highest = F.coalesce(F.max("id"), start.cast("bigint"))
+        return self.batch.select("id").agg(highest.alias("cursor"))
 
 
 def new_events(events: DataFrame, cursor: int | Column = 0, limit: int | None = None) -> DataFrame:
@@ -107,17 +135,7 @@ def schedule_deliveries(
 ) -> ScheduleResult:
     """Fan new events out into pending and dead-lettered delivery rows."""
     batch = new_events(events, cursor, limit)
-    candidates = delivery_candidates(fanout.judge_callbacks(batch, opts, mark_duplicates=False))
-    # An array of n elements has at least 2n + 1 bytes, more than the 2n ordinals.
-    stride = batch.agg(F.coalesce(F.max(F.octet_length("callbacks")), F.lit(1))).scalar()
-    rows = append_deliveries(candidates, deliveries, as_of, stride, cursor)
-    start = cursor if isinstance(cursor, Column) else F.lit(cursor)
-    return ScheduleResult(
-        new_rows=rows,
-        rejects=rejects(batch, opts),
-        corrupt=fanout.corrupt_events(batch, opts),
-        cursor=batch.select("id").agg(F.coalesce(F.max("id"), start.cast("bigint")).alias("cursor")),
-    )
+    return ScheduleResult(batch, deliveries, opts, as_of, cursor)
 
 
 def rejects(events: DataFrame, opts: Options) -> DataFrame:

@@ -738,7 +738,6 @@ def _(t: Tables):
 # --- Retention -----------------------------------------------------------------------
 
 _DOOMED = "doomed AS (SELECT * FROM terminal ORDER BY id LIMIT 1000)"
-_LEFT = f"SELECT id, event_id FROM outbox_events WHERE id NOT IN (SELECT id FROM "
 
 
 def _retained(t: Tables, limit: int | None) -> retention.RetentionResult:
@@ -1003,8 +1002,8 @@ _CLOSED = "(SELECT max(created_at) FROM varied_events) - INTERVAL 1 MINUTE"
 
 @register(
     "stream_metrics",
-    V + f"""SELECT kind, branch, date_trunc('minute', created_at) AS minute, count(*) AS value FROM varied_events JOIN branches USING (id)
- GROUP BY ALL HAVING date_trunc('minute', created_at) + INTERVAL 1 MINUTE <= {_CLOSED}""",
+    V + f"""SELECT kind, branch, minute, count(*) AS value FROM (SELECT kind, branch, date_trunc('minute', created_at) AS minute
+ FROM varied_events JOIN branches USING (id)) m WHERE minute + INTERVAL 1 MINUTE <= {_CLOSED} GROUP BY 1, 2, 3""",
 )
 def _(t: Tables):
     events = fixtures.derive_from(_stream(t), "varied_events")

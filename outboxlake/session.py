@@ -31,6 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
     return "file:" + tempfile.mkdtemp(prefix="outboxlake-")
 
 

@@ -86,7 +86,10 @@ def stream_schedule(
         now = as_of or batch.sparkSession.sql("SELECT current_timestamp()").head()[0]
         batch.persist()
         try:
-            result = schedule.schedule_deliveries(batch, sink.rows(batch_id), opts, now)
+            # Ids are counted from the first event of the batch, so that they grow with
+            # the events and not with the number of batches.
+            start = batch.agg(F.coalesce(F.min("id") - 1, F.lit(0))).scalar()
+            result = schedule.schedule_deliveries(batch, sink.rows(batch_id), opts, now, start)
             sink.write(result.new_rows, batch_id)
         finally:
             batch.unpersist()
