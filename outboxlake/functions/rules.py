@@ -165,6 +165,10 @@ def _named(c: Getter) -> Getter:
     return find
 
 
+def mode(c: Getter) -> Column:
+    return _named(c)("_mode")
+
+
 _TEXT_PLACE = {"_name": 0, "_url": 1, "_key": 3}
 _NUMBER_PLACE = {"_attempts": 0, "_timeout": 1, "_external": 2, "_cycles": 3}
 

@@ -99,7 +99,8 @@ def judge_callbacks(
     """One row per callback element of every event, with its verdict.
 
     Columns: event keys, ``n_callbacks``, ``branch``, ``pos``, ``label``, ``reason``,
-    ``message`` and ``target`` (NULL for rejects). Without ``mark_duplicates`` a repeated
+    ``message``, ``valid``, ``mode`` (rejects are managed) and ``target`` (NULL for
+    rejects; not worked out unless used). Without ``mark_duplicates`` a repeated
     valid name stays valid, which is all an insert-if-absent needs.
     """
     classified = classify_events(events, opts)
@@ -122,7 +123,8 @@ def judge_callbacks(
     judged = judged.withColumns({**vj.stage_columns(lazy), "_twin": twin}).drop("_siblings")
     judged = vj.add_stages(judged, last)
     duplicate = F.col("_twin") & F.col("code").isNull()
-    return judged.withColumn("_refused", ~checked | duplicate).select(
+    valid = checked & F.col("code").isNull() & ~F.col("_twin")
+    return judged.withColumn("valid", valid).select(
         *EVENT_KEYS,
         "n_callbacks",
         "branch",
@@ -137,7 +139,9 @@ def judge_callbacks(
         .when(F.col("branch") == TOO_MANY, _too_many_text(opts))
         .otherwise(oversized_text(F.col("payload_size_bytes"), opts.payload_size_limit))
         .alias("message"),
-        F.when(~F.col("_refused"), F.col("target")).alias("target"),
+        "valid",
+        F.when(F.col("valid"), rules.mode(F.col)).otherwise("managed").alias("mode"),
+        F.when(F.col("valid"), F.col("target")).alias("target"),
     )
 
 

@@ -65,13 +65,13 @@ def new_events(events: DataFrame, cursor: int | Column = 0, limit: int | None =
 
 def delivery_candidates(judged: DataFrame) -> DataFrame:
     """Rows to insert: valid callbacks first, then rejects, each in array order."""
-    dead = F.col("target").isNull()
+    dead = ~F.col("valid")
     return judged.select(
         F.col("id").alias("event_seq"),
         "event_id",
         F.col("label").alias("callback_name"),
         F.when(dead, F.col("n_callbacks") + F.col("pos")).otherwise(F.col("pos")).alias("ordinal"),
-        F.coalesce(F.col("target.mode"), F.lit("managed")).alias("completion_mode"),
+        F.col("mode").alias("completion_mode"),
         dead.alias("dead_letter"),
         cut_utf8(F.col("message")).alias("last_error"),
     )
@@ -141,7 +141,7 @@ def schedule_deliveries(
 def rejects(events: DataFrame, opts: Options) -> DataFrame:
     """Refused callbacks with their reason; oversized payloads have none."""
     judged = fanout.judge_callbacks(events, opts)
-    return judged.filter(F.col("target").isNull()).select(
+    return judged.filter(~F.col("valid")).select(
         "id",
         "event_id",
         "kind",

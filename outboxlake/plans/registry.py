@@ -66,6 +66,19 @@ class Tables:
     def varied(self) -> DataFrame:
         return self.table("varied_events")
 
+    @cached_property
+    def spread_base(self) -> DataFrame:
+        return tables.spread(self.base)
+
+    @property
+    def spread_events(self) -> DataFrame:
+        """For the queries that judge every callback."""
+        return fixtures.derive_from(self.spread_base, "outbox_events")
+
+    @property
+    def spread_varied(self) -> DataFrame:
+        return fixtures.derive_from(self.spread_base, "varied_events")
+
     @property
     def deliveries(self) -> DataFrame:
         return self.table("outbox_deliveries")
@@ -209,12 +222,12 @@ _START = f"(SELECT coalesce(max(id), 0) FROM outbox_events WHERE created_at < TI
 
 @register("rescan_since", W + oracle.scheduled(cursor=_START))
 def _(t: Tables):
-    return schedule.rescan_since(t.events, t.deliveries, WHOLE, AS_OF, SINCE).new_rows
+    return schedule.rescan_since(t.spread_events, t.deliveries, WHOLE, AS_OF, SINCE).new_rows
 
 
 @register("append_deliveries", W + f"SELECT {D} FROM ({oracle.scheduled()}) x UNION ALL SELECT {D} FROM outbox_deliveries")
 def _(t: Tables):
-    judged = fanout.judge_callbacks(t.events, WHOLE)
+    judged = fanout.judge_callbacks(t.spread_events, WHOLE)
     stride = t.events.agg(F.max(F.octet_length("callbacks"))).scalar()
     rows = schedule.append_deliveries(
         schedule.delivery_candidates(judged), t.deliveries, AS_OF, stride
@@ -282,12 +295,12 @@ _VERDICT_SQL = "SELECT id, event_id, pos, label, reason, message FROM judged WHE
 
 @register("validate_callbacks", W + _VERDICT_SQL)
 def _(t: Tables):
-    return fanout.validate_callbacks(t.events, WHOLE).select(*_VERDICT)
+    return fanout.validate_callbacks(t.spread_events, WHOLE).select(*_VERDICT)
 
 
 @register("validate_callbacks_varied", V + _VERDICT_SQL)
 def _(t: Tables):
-    return fanout.validate_callbacks(t.varied, WHOLE).select(*_VERDICT)
+    return fanout.validate_callbacks(t.spread_varied, WHOLE).select(*_VERDICT)
 
 
 @register(
@@ -295,12 +308,12 @@ def _(t: Tables):
     V + "SELECT id, event_id, kind, pos, label AS callback_name, message, reason FROM judged WHERE branch = 'too_many'",
 )
 def _(t: Tables):
-    return fanout.array_level_rejects(t.varied, WHOLE)
+    return fanout.array_level_rejects(t.spread_varied, WHOLE)
 
 
 @register("dedupe_callback_names", V + _VERDICT_SQL + " AND reason = 'duplicate_name'")
 def _(t: Tables):
-    return fanout.dedupe_callback_names(t.varied, WHOLE).select(*_VERDICT)
+    return fanout.dedupe_callback_names(t.spread_varied, WHOLE).select(*_VERDICT)
 
 
 @register(
@@ -314,7 +327,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return (
-        fanout.resolve_targets(t.varied, WHOLE)
+        fanout.resolve_targets(t.spread_varied, WHOLE)
         .withColumn("backoff", F.array_join(F.col("backoff").cast("array<string>"), ","))
         .withColumn("header_count", F.size("headers").cast("bigint"))
         .drop("headers")
@@ -323,12 +336,12 @@ def _(t: Tables):
 
 @register("schedule_deliveries", W + oracle.scheduled())
 def _(t: Tables):
-    return schedule.schedule_deliveries(t.events, t.deliveries, WHOLE, AS_OF).new_rows
+    return schedule.schedule_deliveries(t.spread_events, t.deliveries, WHOLE, AS_OF).new_rows
 
 
 @register("schedule_deliveries_varied", V + oracle.scheduled("varied_events"))
 def _(t: Tables):
-    return schedule.schedule_deliveries(t.varied, t.deliveries, WHOLE, AS_OF).new_rows
+    return schedule.schedule_deliveries(t.spread_varied, t.deliveries, WHOLE, AS_OF).new_rows
 
 
 @register(
@@ -853,7 +866,7 @@ def _(t: Tables):
 
 @register("m_invalid_callbacks_total", V + "SELECT reason, count(*) AS value FROM judged WHERE reason IS NOT NULL GROUP BY 1")
 def _(t: Tables):
-    return metrics.m_invalid_callbacks_total(schedule.rejects(t.varied, WHOLE))
+    return metrics.m_invalid_callbacks_total(schedule.rejects(t.spread_varied, WHOLE))
 
 
 @register("m_payload_rejections_total", W + "SELECT kind, count(*) AS value FROM arrays WHERE size > 1024 GROUP BY 1")

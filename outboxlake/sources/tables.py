@@ -39,6 +39,16 @@ def read_table(
     return spark.read.format(fmt).schema(nullable).options(**options).load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Gives an input of fewer splits than cores to all cores, by one shuffle.
+
+    For work that is heavy per row, such as validation, on few or single-row-group files.
+    Inputs with enough splits are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def jdbc_options(
     url: str, query_table: str, schema: T.StructType, low: int, high: int, partitions: int
 ) -> dict[str, str]:

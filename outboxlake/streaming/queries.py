@@ -113,7 +113,7 @@ def stream_dedupe(events: DataFrame, opts: Options, delay: str = "1 hour") -> Da
     judged = fanout.judge_callbacks(timed, opts).withWatermark("created_at", delay)
     first = judged.dropDuplicatesWithinWatermark(["event_id", "label"])
     return first.select(
-        "id", "event_id", "label", "pos", F.col("target").isNull().alias("dead_letter")
+        "id", "event_id", "label", "pos", (~F.col("valid")).alias("dead_letter")
     )
 
 
