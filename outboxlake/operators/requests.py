@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,14 +89,16 @@ def key_table(spark: SparkSession, keys: Mapping[str, bytes]) -> DataFrame:
 
     A table rather than literals, so that no secret shows up in query plans.
     """
-    rows = []
+    columns: dict[str, list] = {"signing_key_id": [], "_inner": [], "_outer": []}
     for key_id, secret in sorted(keys.items()):
         block = secret if len(secret) <= SHA256_BLOCK else hashlib.sha256(secret).digest()
         block = block.ljust(SHA256_BLOCK, b"\0")
-        inner = bytearray(b ^ 0x36 for b in block)
-        outer = bytearray(b ^ 0x5C for b in block)
-        rows.append((key_id, inner, outer))
-    return spark.createDataFrame(rows, KEY_SCHEMA)
+        columns["signing_key_id"].append(key_id)
+        columns["_inner"].append(bytes(b ^ 0x36 for b in block))
+        columns["_outer"].append(bytes(b ^ 0x5C for b in block))
+    types = [pa.string(), pa.binary(), pa.binary()]
+    arrays = [pa.array(v, t) for v, t in zip(columns.values(), types)]
+    return spark.createDataFrame(pa.table(arrays, names=list(columns)), KEY_SCHEMA)
 
 
 def hmac_hex(message: Column) -> Column:
