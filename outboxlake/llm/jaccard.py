@@ -7,10 +7,10 @@ texts link when 100 * |A and B| >= 75 * |A or B|.
 How it scales:
 
 1. Texts with equal sets collapse to their smallest id, so copies cost one row each.
-2. A linked pair shares a shingle among the first |A| - ceil(.75 |A|) + 1 of either text in
+2. A linked pair shares k shingles among the first |A| - ceil(.75 |A|) + k of either text in
    any fixed order. The order is by hash with the most frequent shingles last, which keeps
    passages that many texts share out of the way. Which shingles count as frequent only
-   changes the cost, never the result.
+   changes the cost, never the result. Texts that share fewer than k with others drop out.
 3. Blocks of texts exchange each of these shingles once (smallest text only) and get the
    shingles back that other texts hold too, with the smallest text that holds it: its pivot.
    Texts with a common pivot form a tile, and every linked pair meets in a tile.
@@ -18,8 +18,9 @@ How it scales:
    then are done; this is linear in the links, also for a group of thousands of copies.
 5. Other tiles are searched through an R-tree over count vectors: shingles are hashed into
    groups, a node keeps the largest count per group, and sum(min(a, node)) bounds the
-   overlap. Surviving pairs of different components are checked on their sets. Large tiles
-   are split into chunks; only members outside the tile's main component visit all chunks.
+   overlap. Members left with a partner in another component come back with their sets, on
+   which surviving pairs are checked. Large tiles are split into chunks; only members
+   outside the tile's main component visit all chunks.
 
 Null texts and texts without words have no shingles and link with nothing. Repeated ids
 keep their rows; each row gets the class of its own text. Rows with a null id get a null
@@ -41,7 +42,9 @@ from outboxlake.llm.components import Forest, components
 from outboxlake.llm.store import prepare, stored
 
 WORDS = 5
-GROUPS = 64
+GROUPS = 256
+#: Shingles that a linked pair shares in its prefixes, for sets of 11 and more.
+SHARED = 8
 #: Entries of the list of frequent shingles that is sent to all tasks (8 bytes each).
 FREQUENT = 1 << 16
 CHUNK = 256
@@ -77,7 +80,21 @@ def count_vectors(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     n = len(at) - 1
     of = np.repeat(np.arange(n), np.diff(at))
     group = (hashes >> np.uint64(20)).astype(np.int64) % GROUPS
-    return np.bincount(of * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS).astype(np.int32)
+    return np.bincount(of * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS)
+
+
+def packed_counts(vector: np.ndarray) -> bytes:
+    """Two bytes a count, or four where a count needs them."""
+    return bs.packed(vector.astype(np.uint16 if vector.max(initial=0) < 1 << 16 else np.uint32))
+
+
+def counts_of(values) -> np.ndarray:
+    kinds = {2 * GROUPS: np.uint16, 4 * GROUPS: np.uint32}
+    return np.stack([np.frombuffer(v, kinds[len(v)]).astype(np.int32) for v in values])
+
+
+def common_in_prefix(n: np.ndarray) -> np.ndarray:
+    return np.where(n >= 11, SHARED, np.minimum(n, 3))
 
 
 def _count_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,10 +127,11 @@ _BLOCKS = pa.schema(
         ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())]))),
         ("ids", pa.binary()),
         ("lengths", pa.binary()),
+        ("needs", pa.binary()),
         ("prefix", pa.binary()),
     ]
 )
-_BLOCKS_DDL = "block string, docs array<struct<doc_id:long,n:long,s1:long,s2:long>>, ids binary, lengths binary, prefix binary"
+_BLOCKS_DDL = "block string, docs array<struct<doc_id:long,n:long,s1:long,s2:long>>, ids binary, lengths binary, needs binary, prefix binary"
 
 
 def _blocks(frequent):
@@ -148,7 +166,9 @@ def _block(piece: pa.RecordBatch, late: np.ndarray, name: str) -> pa.RecordBatch
         is_late = late[np.minimum(found, len(late) - 1)] == hashes
         order = np.argsort(of * 2 + is_late, kind="stable")
         hashes = hashes[order]
-    keep = sizes - -(-3 * sizes // 4) + (sizes > 0)
+    keep = sizes - -(-3 * sizes // 4) + common_in_prefix(sizes)
+    # The smallest partner has three quarters of the size.
+    needs = common_in_prefix(-(-3 * sizes // 4))
     rank = np.arange(len(hashes)) - np.repeat(at[:-1], sizes)
     usable = ~np.asarray(ids.is_null())
     keep = np.where(usable, keep, 0)
@@ -160,6 +180,7 @@ def _block(piece: pa.RecordBatch, late: np.ndarray, name: str) -> pa.RecordBatch
             pa.array([rows], _BLOCKS.field("docs").type),
             pa.array([bs.packed(known.astype(np.int64))]),
             pa.array([bs.packed(keep.astype(np.int32))]),
+            pa.array([bs.packed(needs.astype(np.int32))]),
             pa.array([bs.packed(chosen)]),
         ],
         schema=_BLOCKS,
@@ -245,10 +266,13 @@ def _memberships(blocks: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(keys)
     keys, pivots = keys[order], pivots[order]
     own = np.frombuffer(row["prefix"], np.uint64)
-    owner = np.repeat(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int32))
+    ids, lengths = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int32)
+    owner = np.repeat(np.arange(len(ids)), lengths)
     at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
     hit = keys[at] == own
-    pairs = pd.DataFrame({"doc_id": owner[hit], "pivot": pivots[at[hit]]})
+    enough = np.bincount(owner[hit], minlength=len(ids)) >= np.frombuffer(row["needs"], np.int32)
+    hit &= enough[owner]
+    pairs = pd.DataFrame({"doc_id": ids[owner[hit]], "pivot": pivots[at[hit]]})
     return pairs.drop_duplicates()
 
 
@@ -264,19 +288,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             schema,
             piece.column("doc_id").to_pylist(),
             np.diff(at),
-            [bs.packed(v) for v in vectors],
+            [packed_counts(v) for v in vectors],
             [bs.packed(hashes[a:b]) for a, b in zip(at, at[1:], strict=False)],
         )
 
 
-def _ints(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(v, np.int32) for v in column.to_pylist()])
-
-
 def _within_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            bound = np.minimum(_ints(batch.column("vector")), _ints(batch.column("vector_b"))).sum(1, dtype=np.int64)
+            bound = np.minimum(counts_of(batch.column("vector").to_pylist()), counts_of(batch.column("vector_b").to_pylist())).sum(1, dtype=np.int64)
             total = batch.column("n").to_numpy() + batch.column("n_b").to_numpy()
             yield batch.select(["a", "b"]).filter(pa.array(7 * bound >= 3 * total))
 
@@ -339,29 +359,47 @@ class CountTree:
         return query, self.order[node]
 
 
+def _candidates(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
+    """Residents, those who look for them, and the pairs of different components in bound."""
+    residents, visitors = pdf[~pdf["visits"]], pdf[pdf["visits"]]
+    left = visitors if len(visitors) else residents
+    if residents.empty:
+        return residents, left, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tree = CountTree(counts_of(residents["vector"]), residents["n"].to_numpy())
+    q, x = tree.candidates(counts_of(left["vector"]), left["n"].to_numpy())
+    keep = left["component"].to_numpy()[q] != residents["component"].to_numpy()[x]
+    if not len(visitors):
+        keep &= left["doc_id"].to_numpy()[q] < residents["doc_id"].to_numpy()[x]
+    return residents, left, q[keep], x[keep]
+
+
+def _active(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The members of one chunk that have a possible partner in another component."""
+    residents, left, q, x = _candidates(pdf)
+    rows = pd.concat([left.iloc[np.unique(q)], residents.iloc[np.unique(x)]])
+    return rows[list(_PLACE)].drop_duplicates()
+
+
 def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     """New links between components in one chunk: residents among themselves, or with visitors."""
-    residents, visitors = pdf[~pdf["visits"]], pdf[pdf["visits"]]
-    links: list[tuple[int, int]] = []
-    if len(residents):
-        left = visitors if len(visitors) else residents
-        tree = CountTree(np.stack([np.frombuffer(v, np.int32) for v in residents["vector"]]), residents["n"].to_numpy())
-        q, x = tree.candidates(np.stack([np.frombuffer(v, np.int32) for v in left["vector"]]), left["n"].to_numpy())
-        left_id, right_id = left["doc_id"].to_numpy(), residents["doc_id"].to_numpy()
-        left_root, right_root = left["component"].to_numpy(), residents["component"].to_numpy()
-        open_pairs = (left_root[q] != right_root[x]) & (len(visitors) > 0 or left_id[q] < right_id[x])
-        q, x = q[open_pairs], x[open_pairs]
-        left_sets = [np.frombuffer(v, np.uint64) for v in left["shingles"]]
-        right_sets = [np.frombuffer(v, np.uint64) for v in residents["shingles"]]
-        forest = Forest()
-        for i, j in zip(q.tolist(), x.tolist(), strict=True):
-            a, b = int(left_root[i]), int(right_root[j])
-            if forest.find(a) != forest.find(b) and linked(left_sets[i], right_sets[j]):
-                forest.join(a, b)
-                links.append((int(left_id[i]), int(right_id[j])))
+    residents, left, q, x = _candidates(pdf)
+    left_id, right_id = left["doc_id"].to_numpy(), residents["doc_id"].to_numpy()
+    left_root, right_root = left["component"].to_numpy(), residents["component"].to_numpy()
+    left_sets = [np.frombuffer(v, np.uint64) for v in left["shingles"]]
+    right_sets = [np.frombuffer(v, np.uint64) for v in residents["shingles"]]
+    forest, links = Forest(), []
+    for i, j in zip(q.tolist(), x.tolist(), strict=True):
+        a, b = int(left_root[i]), int(right_root[j])
+        if forest.find(a) != forest.find(b) and linked(left_sets[i], right_sets[j]):
+            forest.join(a, b)
+            links.append((int(left_id[i]), int(right_id[j])))
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
+_PLACE = ("pivot", "chunk", "from", "doc_id", "component", "visits")
+_PLACE_DDL = "pivot long, chunk long, `from` long, doc_id long, component long, visits boolean"
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     other = sets.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns))
     own = sets.select(F.col("doc_id").alias("a"), *columns)
@@ -386,7 +424,7 @@ def shingle_classes(docs: DataFrame) -> DataFrame:
         _send(buckets), "bucket int, block string, keys binary, low binary, many binary"
     )
     back = sent.groupBy("bucket").applyInPandas(_meet, "block string, keys binary, pivots binary")
-    own = blocks.select("block", "ids", "lengths", "prefix")
+    own = blocks.select("block", "ids", "lengths", "needs", "prefix")
     member = own.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(
         _memberships, "doc_id long, pivot long"
     )
@@ -426,8 +464,10 @@ def shingle_classes(docs: DataFrame) -> DataFrame:
     guests = outside.select(
         "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("to"), F.col("chunk").alias("from"), "doc_id", "component"
     ).select("pivot", F.col("to").alias("chunk"), "from", "doc_id", "component", F.lit(True).alias("visits"))
-    work = home.union(hosts).union(guests).join(sets, "doc_id")
-    found = work.groupBy("pivot", "chunk", "from").applyInPandas(_search, "a long, b long")
+    key = ("pivot", "chunk", "from")
+    work = home.union(hosts).union(guests).join(sets.select("doc_id", "n", "vector"), "doc_id")
+    active = stored(work.groupBy(*key).applyInPandas(_active, _PLACE_DDL), "active")
+    found = active.join(sets, "doc_id").groupBy(*key).applyInPandas(_search, "a long, b long")
     links = links.union(stored(found, "found"))
     final = components(links)
 
