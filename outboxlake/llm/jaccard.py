@@ -43,8 +43,8 @@ from outboxlake.llm.store import prepare, stored
 
 WORDS = 5
 GROUPS = 256
-#: Shingles that a linked pair shares in its prefixes, for sets of 11 and more.
-SHARED = 8
+#: Shingles that a linked pair shares in its prefixes, by the size of the sets.
+SHARED = ((22, 16), (11, 8), (1, 3))
 #: Entries of the list of frequent shingles that is sent to all tasks (8 bytes each).
 FREQUENT = 1 << 16
 CHUNK = 256
@@ -94,7 +94,7 @@ def counts_of(values) -> np.ndarray:
 
 
 def common_in_prefix(n: np.ndarray) -> np.ndarray:
-    return np.where(n >= 11, SHARED, np.minimum(n, 3))
+    return np.minimum(n, np.select([n >= size for size, _ in SHARED], [k for _, k in SHARED], 0))
 
 
 def _count_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,8 +256,8 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _memberships(blocks: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-    """The distinct (text, pivot) pairs of one block."""
-    none = pd.DataFrame({"doc_id": np.zeros(0, np.int64), "pivot": np.zeros(0, np.int64)})
+    """The distinct (text, pivot) pairs of one block, and its shared shingles of each text."""
+    none = pd.DataFrame({"doc_id": np.zeros(0, np.int64), "pivot": pd.array([], "Int64"), "shared": []})
     if blocks.empty or back.empty:
         return none
     row = blocks.iloc[0]
@@ -272,8 +272,14 @@ def _memberships(blocks: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
     hit = keys[at] == own
     enough = np.bincount(owner[hit], minlength=len(ids)) >= np.frombuffer(row["needs"], np.int32)
     hit &= enough[owner]
-    pairs = pd.DataFrame({"doc_id": ids[owner[hit]], "pivot": pivots[at[hit]]})
-    return pairs.drop_duplicates()
+    pairs = pd.DataFrame({"doc_id": ids[owner[hit]], "pivot": pivots[at[hit]]}).drop_duplicates()
+    pairs["pivot"] = pairs["pivot"].astype("Int64")
+    order = np.lexsort((own[hit], owner[hit]))
+    shared, of = own[hit][order], owner[hit][order]
+    cut = np.searchsorted(of, np.arange(len(ids) + 1))
+    full = np.flatnonzero(np.diff(cut))
+    lists = pd.DataFrame({"doc_id": ids[full], "shared": [bs.packed(shared[cut[k] : cut[k + 1]]) for k in full]})
+    return pd.concat([pairs, lists])[["doc_id", "pivot", "shared"]]
 
 
 _SETS_DDL = "doc_id long, n long, vector binary, shingles binary"
@@ -301,14 +307,20 @@ def _within_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield batch.select(["a", "b"]).filter(pa.array(7 * bound >= 3 * total))
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Of two sorted sets of distinct hashes."""
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Members that two sorted sets have in common."""
     if len(a) > len(b):
         a, b = b, a
+    if not len(a):
+        return 0
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
-    both = int(np.count_nonzero(b[at] == a))
-    return len(a) > 0 and 100 * both >= 75 * (len(a) + len(b) - both)
+    return int(np.count_nonzero(b[at] == a))
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    both = common(a, b)
+    return both > 0 and 100 * both >= 75 * (len(a) + len(b) - both)
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,6 +388,11 @@ def _candidates(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarr
 def _active(pdf: pd.DataFrame) -> pd.DataFrame:
     """The members of one chunk that have a possible partner in another component."""
     residents, left, q, x = _candidates(pdf)
+    left_lists = [np.frombuffer(v, np.uint64) for v in left["shared"]]
+    right_lists = [np.frombuffer(v, np.uint64) for v in residents["shared"]]
+    need = np.minimum(common_in_prefix(left["n"].to_numpy())[q], common_in_prefix(residents["n"].to_numpy())[x])
+    keep = [common(left_lists[i], right_lists[j]) >= k for i, j, k in zip(q.tolist(), x.tolist(), need.tolist(), strict=True)]
+    q, x = q[np.array(keep, bool)], x[np.array(keep, bool)]
     rows = pd.concat([left.iloc[np.unique(q)], residents.iloc[np.unique(x)]])
     return rows[list(_PLACE)].drop_duplicates()
 
@@ -426,9 +443,11 @@ def shingle_classes(docs: DataFrame) -> DataFrame:
     back = sent.groupBy("bucket").applyInPandas(_meet, "block string, keys binary, pivots binary")
     own = blocks.select("block", "ids", "lengths", "needs", "prefix")
     member = own.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(
-        _memberships, "doc_id long, pivot long"
+        _memberships, "doc_id long, pivot long, shared binary"
     )
     member = stored(member, "memberships")
+    shared = member.where("pivot is null").groupBy("doc_id").agg(F.min("shared").alias("shared"))
+    member = member.where("pivot is not null").drop("shared")
     reps = same.select("rep").distinct()
     member = member.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").distinct()
     crowd = member.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1")
@@ -448,7 +467,14 @@ def shingle_classes(docs: DataFrame) -> DataFrame:
 
     placed = member.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = placed.select("pivot", "doc_id", "members", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    mixed = placed.groupBy("pivot").agg(
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+        F.count("*").alias("all"),
+        F.max((F.col("doc_id") == F.col("pivot")).cast("int")).alias("has_pivot"),
+    )
+    # The pivot itself has been compared with every member.
+    mixed = mixed.where("low <> high and all - has_pivot > 1")
     placed = stored(placed.join(mixed.select("pivot"), "pivot", "left_semi"), "mixed")
     parts = placed.groupBy("pivot", "component").agg(F.count("*").alias("k"))
     main = parts.groupBy("pivot").agg(F.max(F.struct("k", "component")).alias("top"))
@@ -465,7 +491,7 @@ def shingle_classes(docs: DataFrame) -> DataFrame:
         "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("to"), F.col("chunk").alias("from"), "doc_id", "component"
     ).select("pivot", F.col("to").alias("chunk"), "from", "doc_id", "component", F.lit(True).alias("visits"))
     key = ("pivot", "chunk", "from")
-    work = home.union(hosts).union(guests).join(sets.select("doc_id", "n", "vector"), "doc_id")
+    work = home.union(hosts).union(guests).join(sets.select("doc_id", "n", "vector"), "doc_id").join(shared, "doc_id")
     active = stored(work.groupBy(*key).applyInPandas(_active, _PLACE_DDL), "active")
     found = active.join(sets, "doc_id").groupBy(*key).applyInPandas(_search, "a long, b long")
     links = links.union(stored(found, "found"))
