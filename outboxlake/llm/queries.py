@@ -5,17 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from outboxlake.llm import jaccard
+from outboxlake.llm import decontaminate, jaccard, labelled, mixing, secrets, toxicity
 from outboxlake.llm.store import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = labelled.held_out(F.col("doc_id"), toxicity.PARTS, toxicity.PART)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = mixing.mixed(table(spark, sf_dir, "documents"))
+    return chosen.select("doc_id", "domain", "lang", "source", "tokens", "copies")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.shingle_classes(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.spans(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
+    "op3_mixing": op3_mixing,
     "op7_jaccard_join": op7_jaccard_join,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLE: dict[str, str] = {}
