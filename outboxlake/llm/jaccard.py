@@ -94,7 +94,8 @@ def counts_of(values) -> np.ndarray:
 
 
 def common_in_prefix(n: np.ndarray) -> np.ndarray:
-    return np.minimum(n, np.select([n >= size for size, _ in SHARED], [k for _, k in SHARED], 0))
+    few = np.select([n >= size for size, _ in SHARED], [k for _, k in SHARED], 0)
+    return np.minimum(n, np.maximum(few, n // 32))
 
 
 def _count_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
