@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outboxlake.llm import decontaminate, jaccard, labelled, mixing, secrets, suffixes, toxicity
+from outboxlake.llm import crosspolytope, decontaminate, jaccard, labelled, mixing, secrets, suffixes, toxicity, warc
 from outboxlake.llm.store import table
 
 
@@ -27,10 +27,19 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("doc_id", "domain", "lang", "source", "tokens", "copies")
 
 
+def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.shingle_classes(table(spark, sf_dir, "documents"))
 
 
+def op8_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.spans(table(spark, sf_dir, "documents")))
 
@@ -44,7 +53,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
+    "op6_cross_polytope": op6_cross_polytope,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_archives": op8_archives,
     "op9_secrets": op9_secrets,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
