@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outboxlake.llm import crosspolytope, decontaminate, jaccard, labelled, mixing, secrets, suffixes, toxicity, warc
+from outboxlake.llm import chat, crosspolytope, decontaminate, jaccard, labelled, mixing, secrets, suffixes, toxicity, warc
 from outboxlake.llm.store import table
 
 
@@ -27,6 +27,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("doc_id", "domain", "lang", "source", "tokens", "copies")
 
 
+def op5_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.maximal(table(spark, sf_dir, "conversations"))
+
+
 def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
+    "op5_chat_snapshots": op5_chat_snapshots,
     "op6_cross_polytope": op6_cross_polytope,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_archives": op8_archives,
@@ -60,4 +65,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+OP5_SQL = """
+WITH rows AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+named AS (
+  SELECT conv_id, row_number() OVER w AS k, coalesce(role, chr(2)) || chr(1) || coalesce(text, chr(2)) || chr(3) AS item,
+    '<|im_start|>' || regexp_replace(coalesce(role, 'unknown'), '[<|>\\s]+', ' ', 'g') || chr(10)
+      || regexp_replace(coalesce(text, ''), '<\\|(im_start|im_end)\\|>', '<| \\1 |>', 'g') || '<|im_end|>' || chr(10) AS shown
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+prefixes AS (
+  SELECT conv_id, k, string_agg(item, '') OVER w AS prefix, count(*) OVER (PARTITION BY conv_id) AS n_turns
+  FROM named WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+best AS (SELECT prefix, n_turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM prefixes WHERE k = n_turns GROUP BY ALL),
+texts AS (SELECT conv_id, string_agg(shown, '' ORDER BY k) AS text FROM named GROUP BY conv_id)
+SELECT conv_id, n_turns, n_copies, text FROM best JOIN texts USING (conv_id)
+WHERE prefix NOT IN (SELECT prefix FROM prefixes WHERE k < n_turns)
+"""
+
+ORACLE: dict[str, str] = {"op5_chat_snapshots": OP5_SQL}
