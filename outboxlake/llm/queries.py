@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outboxlake.llm import chat, crosspolytope, decontaminate, jaccard, labelled, mixing, secrets, suffixes, toxicity, warc
+from outboxlake.llm import chat, crosspolytope, decontaminate, jaccard, labelled, mixing, quality, secrets, suffixes, toxicity, warc
 from outboxlake.llm.store import table
 
 
@@ -27,6 +27,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("doc_id", "domain", "lang", "source", "tokens", "copies")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = labelled.held_out(F.col("doc_id"), quality.PARTS, quality.PART)
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.maximal(table(spark, sf_dir, "conversations"))
 
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
+    "op4_quality": op4_quality,
     "op5_chat_snapshots": op5_chat_snapshots,
     "op6_cross_polytope": op6_cross_polytope,
     "op7_jaccard_join": op7_jaccard_join,
