@@ -70,7 +70,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [bs.packed(ids.astype(np.int64))],
             [bs.packed(np.diff(at).astype(np.int64))],
             [len(raw)],
-            [pa.compress(raw, "zstd", asbytes=True)],
+            [pa.Codec("zstd", 9).compress(raw, asbytes=True)],
             [some],
         )
         k += 1
@@ -110,59 +110,128 @@ class Block:
         self.last = whole[np.append(new[1:], len(place)) - 1]
         self.gram = grams[self.anchor]
         self.owner = np.searchsorted(self.at, self.anchor, "right") - 1
+        self.sums = sums
+
+    def find_contexts(self) -> None:
+        """Distinct (gram, context) in order: their hashes, smallest and largest ids, one anchor each;
+        `number` of every anchor."""
+        self.find_anchors()
+        if not len(self.anchor):
+            self.number = self.one = self.low = self.high = np.zeros(0, np.int64)
+            self.keys = self.context = np.zeros(0, np.uint64)
+            return
+        shape = ((self.anchor - self.first) * 64 + self.last - self.anchor + BEFORE).astype(np.uint64)
+        whole = bs.mix(bs.span_hash(self.sums, self.first, self.last + SPAN) ^ bs.mix(shape))
+        order = np.lexsort((whole, self.gram))
+        gram, context = self.gram[order], whole[order]
+        new = np.append(True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]))
+        begin = np.flatnonzero(new)
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = np.cumsum(new) - 1
+        ids = self.ids[self.owner[order]]
+        self.low, self.high = np.minimum.reduceat(ids, begin), np.maximum.reduceat(ids, begin)
+        self.keys, self.context, self.one = gram[begin], context[begin], order[begin]
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+#: Bytes that travel of a gram's hash (beside its bucket) and of a context's hash.
+_GRAM_BYTES, _CONTEXT_BYTES = 5, 4
+_OFFER_DDL = "bucket int, block string, start int, base long, keys binary, contexts binary, low binary, many binary"
+
+
+def _short(x: np.ndarray, size: int) -> bytes:
+    return bs.packed(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size])
+
+
+def _long(values: list[bytes], size: int) -> np.ndarray:
+    few = np.frombuffer(b"".join(values), np.uint8).reshape(-1, size)
+    out = np.zeros((len(few), 8), np.uint8)
+    out[:, :size] = few
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 def _offer(buckets: int):
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("keys", pa.binary()), ("many", pa.binary())])
+    schema = pa.schema(
+        [("bucket", pa.int32()), ("block", pa.string()), ("start", pa.int32()), ("base", pa.int64())]
+        + [(c, pa.binary()) for c in ("keys", "contexts", "low", "many")]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row)
-                block.find_anchors()
-                if not len(block.gram):
+                block.find_contexts()
+                if not len(block.keys):
                     continue
-                order = np.argsort(block.gram, kind="stable")
-                keys, owner = block.gram[order], block.owner[order]
-                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                last = np.append(first[1:], len(keys)) - 1
-                keys, many = keys[first], owner[first] != owner[last]
-                cut = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
+                base = int(block.ids.min())
+                # Four bytes an id where the block's ids lie close enough.
+                wide = int(block.ids.max()) - base >= 1 << 32
+                low = block.low if wide else (block.low - base).astype(np.uint32)
+                cut = np.searchsorted(_bucket(block.keys, buckets), np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(cut))
+                parts = [slice(cut[b], cut[b + 1]) for b in full]
                 yield bs.batch_of(
                     schema,
                     full,
                     [row["block"]] * len(full),
-                    [bs.packed(keys[cut[b] : cut[b + 1]]) for b in full],
-                    [bs.packed(np.packbits(many[cut[b] : cut[b + 1]])) for b in full],
+                    cut[full],
+                    [base] * len(full),
+                    [_short(block.keys[k], _GRAM_BYTES) for k in parts],
+                    [_short(block.context[k], _CONTEXT_BYTES) for k in parts],
+                    [bs.packed(low[k]) for k in parts],
+                    [bs.packed(np.packbits(block.low[k] != block.high[k])) for k in parts],
                 )
 
     return run
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For every block of a bucket: its grams that stand in more than one text."""
-    sizes = pdf["keys"].map(len).to_numpy() // 8
-    keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
+    """For every block of a bucket: its contexts of grams in more than one text, with the smallest ids."""
+    sizes = pdf["keys"].map(len).to_numpy() // _GRAM_BYTES
+    keys = _long(list(pdf["keys"]), _GRAM_BYTES)
+    contexts = _long(list(pdf["contexts"]), _CONTEXT_BYTES)
+    lows = zip(pdf["low"], pdf["base"], sizes, strict=True)
+    low = np.concatenate([np.frombuffer(v, np.uint32 if len(v) == 4 * n else np.int64) + (b if len(v) == 4 * n else 0) for v, b, n in lows])
     many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(pdf["many"], sizes, strict=True)])
     of = np.repeat(np.arange(len(pdf)), sizes)
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    count = np.diff(np.append(begin, len(ordered)))
-    use = np.repeat((count > 1) | (np.maximum.reduceat(many[order], begin) > 0), count)
-    index = np.sort(order[use])
+    place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(pdf["start"].to_numpy(), sizes)
+    order = np.lexsort((contexts, keys))
+    keys, contexts, low = keys[order], contexts[order], low.astype(np.int64)[order]
+    new = np.append(True, keys[1:] != keys[:-1])
+    begin = np.flatnonzero(new)
+    texts = (np.maximum.reduceat(low, begin) != np.minimum.reduceat(low, begin)) | (np.maximum.reduceat(many[order], begin) > 0)
+    use = np.repeat(texts, np.diff(np.append(begin, len(keys))))
+    both = np.flatnonzero(new | np.append(True, contexts[1:] != contexts[:-1]))
+    least = np.repeat(np.minimum.reduceat(low, both), np.diff(np.append(both, len(keys))))
+    index, least = order[use], least[use]
+    back = np.argsort(index)
+    index, least = index[back], least[back]
     cut = np.searchsorted(of[index], np.arange(len(pdf) + 1))
     full = np.flatnonzero(np.diff(cut))
-    return pd.DataFrame({"block": pdf["block"].to_numpy()[full], "keys": [bs.packed(keys[index[cut[b] : cut[b + 1]]]) for b in full]})
+    return pd.DataFrame(
+        {
+            "block": pdf["block"].to_numpy()[full],
+            "numbers": [bs.packed(place[index[cut[b] : cut[b + 1]]].astype(np.int32)) for b in full],
+            "masks": None,
+            "low": [bs.packed(least[cut[b] : cut[b + 1]]) for b in full],
+        }
+    )
+
+
+_NOTES_DDL = "block string, numbers binary, masks binary, low binary"
+_CONTEXTS = ("bucket", "block", "numbers", "bytes", "ranges", "low")
+_CONTEXTS_DDL = "bucket int, block string, numbers binary, bytes binary, ranges binary, low binary"
 
 
-_CONTEXTS = ("bucket", "block", "numbers", "bytes", "ranges", "low", "texts", "places")
-_CONTEXTS_DDL = "bucket int, block string, numbers binary, bytes binary, ranges binary, low binary, texts binary, places binary"
+def _told(block: Block, notes: pd.DataFrame) -> np.ndarray:
+    """The smallest id of each of the block's contexts, or the largest number where none was told."""
+    least = np.full(len(block.keys), _NO_ID)
+    if len(notes):
+        least[np.frombuffer(b"".join(notes["numbers"]), np.int32)] = np.frombuffer(b"".join(notes["low"]), np.int64)
+    return least
 
 
 def _contexts(splitters):
@@ -171,31 +240,26 @@ def _contexts(splitters):
             return pd.DataFrame({c: pd.Series(dtype="object") for c in _CONTEXTS})
         row = blocks.iloc[0]
         block = Block(row)
-        block.find_anchors()
-        keep = np.isin(block.gram, np.frombuffer(b"".join(back["keys"]), np.uint64))
-        anchor, first, last, owner = (x[keep] for x in (block.anchor, block.first, block.last, block.owner))
+        block.find_contexts()
+        known = np.zeros(len(block.keys), bool)
+        known[np.frombuffer(b"".join(back["numbers"]), np.int32)] = True
+        number = np.flatnonzero(known & (block.low == _told(block, back)))
+        one = block.one[number]
+        anchor, first, last = block.anchor[one], block.first[one], block.last[one]
         # Bytes outside the anchor's own strings are left out of its context.
         place = anchor[:, None] + np.arange(-BEFORE, SPAN)
         inside = (place >= first[:, None]) & (place < (last + SPAN)[:, None])
         context = np.where(inside, block.data[np.clip(place, 0, len(block.data) - 1)], 0).astype(np.uint8)
         ranges = np.column_stack([anchor - last, anchor - first]).astype(np.uint8)
-        full = np.ascontiguousarray(np.concatenate([context[:, BEFORE:], context[:, :BEFORE], ranges], axis=1))
-        _, unique, number = np.unique(full.view(f"V{full.shape[1]}").ravel(), return_index=True, return_inverse=True)
-        low = np.full(len(unique), _NO_ID)
-        np.minimum.at(low, number, block.ids[owner])
-        context, ranges = context[unique], ranges[unique]
-        rows = [
-            (-1, row["block"], bs.packed(number.astype(np.int32)), None, bs.packed(ranges), bs.packed(low), bs.packed(owner.astype(np.int32)), bs.packed(anchor))
-        ]
+        rows = []
         lead = np.ascontiguousarray(context[:, BEFORE : BEFORE + GRAM]).view(f"S{GRAM}").ravel()
         to = np.searchsorted(splitters.value, lead, "right")
         order = np.argsort(to, kind="stable")
         cut = np.flatnonzero(np.append(True, to[order][1:] != to[order][:-1])) if len(to) else []
         for a, b in zip(cut, np.append(cut[1:], len(to)) if len(to) else [], strict=True):
             k = order[a:b]
-            rows.append(
-                (int(to[k[0]]), row["block"], bs.packed(k.astype(np.int32)), pa.compress(bs.packed(context[k]), "zstd", asbytes=True), bs.packed(ranges[k]), bs.packed(low[k]), None, None)
-            )
+            packed = pa.compress(bs.packed(context[k]), "zstd", asbytes=True)
+            rows.append((int(to[k[0]]), row["block"], bs.packed(number[k].astype(np.int32)), packed, bs.packed(ranges[k]), bs.packed(block.low[number[k]])))
         return pd.DataFrame(rows, columns=list(_CONTEXTS))
 
     return run
@@ -282,19 +346,16 @@ def _sorted_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
 def _starts(block: Block, notes: pd.DataFrame) -> np.ndarray:
     """The starts of strings that a text with a smaller id holds."""
     starts = np.zeros(len(block.data) + 1, bool)
-    own = notes[notes["texts"].notna()]
-    if own.empty:
+    if notes.empty:
         return starts
-    own = own.iloc[0]
-    number, text = np.frombuffer(own["numbers"], np.int32), np.frombuffer(own["texts"], np.int32)
-    anchor = np.frombuffer(own["places"], np.int64)
-    ranges = np.frombuffer(own["ranges"], np.uint8).reshape(-1, 2).astype(np.int64)
-    low = np.frombuffer(own["low"], np.int64)
-    mine = block.ids[text]
-    possible = ((1 << (ranges[:, 1] + 1)) - (1 << ranges[:, 0])).astype(np.int64)
-    # Inside the block: every string of a context starts in the block's smallest holder.
-    mask = np.where(low[number] < mine, possible[number], 0)
-    told = notes[notes["texts"].isna()]
+    block.find_contexts()
+    least = _told(block, notes[notes["masks"].isna()])
+    number, mine = block.number, block.ids[block.owner]
+    lowest, highest = block.anchor - block.last, block.anchor - block.first
+    possible = (1 << (highest + 1)) - (1 << lowest)
+    # Every string of a context starts in the context's smallest holder.
+    mask = np.where(least[number] < mine, possible, 0)
+    told = notes[notes["masks"].notna()]
     if len(told):
         to = np.frombuffer(b"".join(told["numbers"]), np.int32)
         masks = np.frombuffer(b"".join(told["masks"]), np.uint32).astype(np.int64)
@@ -308,7 +369,7 @@ def _starts(block: Block, notes: pd.DataFrame) -> np.ndarray:
         counts = ids[entry] < mine[which]
         np.bitwise_or.at(mask, which[counts], masks[entry[counts]])
     for distance in range(BEFORE + 1):
-        starts[anchor[(mask >> distance) & 1 > 0] - distance] = True
+        starts[block.anchor[(mask >> distance) & 1 > 0] - distance] = True
     return starts
 
 
@@ -350,20 +411,16 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     texts = blocks.drop("sample")
     volume = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     buckets = max(64, volume // (16 << 20))
-    offers = texts.mapInArrow(_offer(buckets), "bucket int, block string, keys binary, many binary")
-    back = stored(offers.groupBy("bucket").applyInPandas(_shared, "block string, keys binary"), "grams", "none")
+    offers = texts.mapInArrow(_offer(buckets), _OFFER_DDL)
+    back = stored(offers.groupBy("bucket").applyInPandas(_shared, _NOTES_DDL), "grams")
 
-    grams = back.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0)).alias("n")).first()["n"] // 8
-    ranges = int(max(64, grams * (BEFORE + SPAN) // (4 << 20)))
     some = blocks.select(F.explode("sample").alias("lead")).orderBy(F.xxhash64("lead"), "lead").limit(SAMPLE)
     leads = np.sort(np.array([bytes(r["lead"]) for r in some.collect()], f"S{GRAM}"))
-    chosen = np.unique(leads[np.linspace(0, len(leads) - 1, min(ranges, len(leads)) + 1).astype(int)[1:-1]]) if len(leads) > 2 else leads[:0]
+    ranges = min(buckets, len(leads))
+    chosen = np.unique(leads[np.linspace(0, len(leads) - 1, ranges + 1).astype(int)[1:-1]]) if ranges > 1 else leads[:0]
     splitters = spark.sparkContext.broadcast(chosen)
-    contexts = texts.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_contexts(splitters), _CONTEXTS_DDL)
-    contexts = stored(contexts, "contexts", "none")
-    verdicts = contexts.where("bucket >= 0").select("bucket", "block", "numbers", "bytes", "ranges", "low")
-    verdicts = verdicts.groupBy("bucket").applyInPandas(_sorted_bucket, "block string, numbers binary, masks binary, low binary")
-    own = contexts.where("bucket < 0").select("block", "numbers", F.lit(None).cast("binary").alias("masks"), "low", "ranges", "texts", "places")
-    nothing = F.lit(None).cast("binary")
-    notes = own.union(verdicts.select("block", "numbers", "masks", "low", nothing, nothing, nothing))
-    return texts.groupBy("block").cogroup(notes.groupBy("block")).applyInPandas(_cut, _OUT_DDL)
+    # The blocks are dealt out once: both cogroups read the same exchange.
+    dealt = texts.groupBy("block")
+    contexts = dealt.cogroup(back.groupBy("block")).applyInPandas(_contexts(splitters), _CONTEXTS_DDL)
+    verdicts = contexts.groupBy("bucket").applyInPandas(_sorted_bucket, _NOTES_DDL)
+    return dealt.cogroup(back.union(verdicts).groupBy("block")).applyInPandas(_cut, _OUT_DDL)
