@@ -43,7 +43,7 @@ from outboxlake.llm.store import prepare, stored
 SPAN = 50
 GRAM = 20
 BEFORE = SPAN - GRAM
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Leading grams that the splitters are chosen from.
 SAMPLE = 20_000
 _NO_ID = np.iinfo(np.int64).max
@@ -194,12 +194,14 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     keys = _long(list(pdf["keys"]), _GRAM_BYTES)
     contexts = _long(list(pdf["contexts"]), _CONTEXT_BYTES)
     lows = zip(pdf["low"], pdf["base"], sizes, strict=True)
-    low = np.concatenate([np.frombuffer(v, np.uint32 if len(v) == 4 * n else np.int64) + (b if len(v) == 4 * n else 0) for v, b, n in lows])
+    low = np.concatenate(
+        [np.frombuffer(v, np.uint32).astype(np.int64) + b if len(v) == 4 * n else np.frombuffer(v, np.int64) for v, b, n in lows]
+    )
     many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(pdf["many"], sizes, strict=True)])
     of = np.repeat(np.arange(len(pdf)), sizes)
     place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(pdf["start"].to_numpy(), sizes)
     order = np.lexsort((contexts, keys))
-    keys, contexts, low = keys[order], contexts[order], low.astype(np.int64)[order]
+    keys, contexts, low = keys[order], contexts[order], low[order]
     new = np.append(True, keys[1:] != keys[:-1])
     begin = np.flatnonzero(new)
     texts = (np.maximum.reduceat(low, begin) != np.minimum.reduceat(low, begin)) | (np.maximum.reduceat(many[order], begin) > 0)
@@ -246,10 +248,13 @@ def _contexts(splitters):
         number = np.flatnonzero(known & (block.low == _told(block, back)))
         one = block.one[number]
         anchor, first, last = block.anchor[one], block.first[one], block.last[one]
-        # Bytes outside the anchor's own strings are left out of its context.
-        place = anchor[:, None] + np.arange(-BEFORE, SPAN)
-        inside = (place >= first[:, None]) & (place < (last + SPAN)[:, None])
-        context = np.where(inside, block.data[np.clip(place, 0, len(block.data) - 1)], 0).astype(np.uint8)
+        context = np.zeros((len(anchor), BEFORE + SPAN), np.uint8)
+        for a in range(0, len(anchor), 1 << 13):
+            at = slice(a, a + (1 << 13))
+            # Bytes outside the anchor's own strings are left out of its context.
+            place = anchor[at, None] + np.arange(-BEFORE, SPAN)
+            inside = (place >= first[at, None]) & (place < (last[at] + SPAN)[:, None])
+            context[at] = np.where(inside, block.data[np.clip(place, 0, len(block.data) - 1)], 0)
         ranges = np.column_stack([anchor - last, anchor - first]).astype(np.uint8)
         rows = []
         lead = np.ascontiguousarray(context[:, BEFORE : BEFORE + GRAM]).view(f"S{GRAM}").ravel()
@@ -410,7 +415,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     blocks = stored(docs.mapInArrow(_pack, _BLOCKS_DDL), "blocks", "none")
     texts = blocks.drop("sample")
     volume = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(64, volume // (16 << 20))
+    buckets = max(64, volume // (12 << 20))
     offers = texts.mapInArrow(_offer(buckets), _OFFER_DDL)
     back = stored(offers.groupBy("bucket").applyInPandas(_shared, _NOTES_DDL), "grams")
 
