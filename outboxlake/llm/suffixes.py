@@ -44,6 +44,8 @@ SPAN = 50
 GRAM = 20
 BEFORE = SPAN - GRAM
 BLOCK_BYTES = 1 << 20
+#: Bytes of text whose anchors are found at a time.
+STEP_BYTES = 1 << 17
 #: Leading grams that the splitters are chosen from.
 SAMPLE = 20_000
 _NO_ID = np.iinfo(np.int64).max
@@ -76,6 +78,31 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k += 1
 
 
+def _anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, first, last) places and (gram, context) hashes of the anchors of these texts."""
+    n = len(data)
+    ends = np.repeat(at[1:], np.diff(at))
+    whole = np.flatnonzero(np.arange(n) + SPAN <= ends)
+    if not len(whole):
+        return np.zeros((3, 0), np.int64), np.zeros((2, 0), np.uint64)
+    sums = bs.prefix_hash(data)
+    grams = bs.mix((sums[GRAM:] - sums[:-GRAM]) * bs.powers(n)[1][: n - GRAM + 1])
+    least = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+    width = 1
+    while 2 * width <= BEFORE + 1:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    rest = BEFORE + 1 - width
+    least = np.minimum(least[: len(least) - rest], least[rest:])
+    place = (least[whole] & _PLACE).astype(np.int64)
+    new = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    anchor, first = place[new], whole[new]
+    last = whole[np.append(new[1:], len(place)) - 1]
+    shape = ((anchor - first) * 64 + last - anchor + BEFORE).astype(np.uint64)
+    context = bs.mix(bs.span_hash(sums, first, last + SPAN) ^ bs.mix(shape))
+    return np.stack([anchor, first, last]), np.stack([grams[anchor], context])
+
+
 class Block:
     """The texts of one block and their anchors."""
 
@@ -87,30 +114,21 @@ class Block:
         self.data = np.frombuffer(raw, np.uint8)
 
     def find_anchors(self) -> None:
-        """`anchor` places, `gram` hashes, and first and last start of each anchor's strings."""
-        n = len(self.data)
-        ends = np.repeat(self.at[1:], np.diff(self.at))
-        whole = np.flatnonzero(np.arange(n) + SPAN <= ends)
-        if not len(whole):
-            self.anchor = self.first = self.last = self.owner = np.zeros(0, np.int64)
-            self.gram = np.zeros(0, np.uint64)
-            return
-        sums = bs.prefix_hash(self.data)
-        grams = bs.mix((sums[GRAM:] - sums[:-GRAM]) * bs.powers(n)[1][: n - GRAM + 1])
-        least = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
-        width = 1
-        while 2 * width <= BEFORE + 1:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        rest = BEFORE + 1 - width
-        least = np.minimum(least[: len(least) - rest], least[rest:])
-        place = (least[whole] & _PLACE).astype(np.int64)
-        new = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        self.anchor, self.first = place[new], whole[new]
-        self.last = whole[np.append(new[1:], len(place)) - 1]
-        self.gram = grams[self.anchor]
+        """`anchor` places, `gram` and context hashes, and first and last start of each anchor's strings.
+
+        Texts are taken a few at a time, so that working memory does not grow with the block.
+        """
+        parts, text = [np.zeros((3, 0), np.int64)], 0
+        hashes = [np.zeros((2, 0), np.uint64)]
+        while text < len(self.ids):
+            end = max(int(np.searchsorted(self.at, self.at[text] + STEP_BYTES, "right")) - 1, text + 1)
+            places, found = _anchors(self.data[self.at[text] : self.at[end]], self.at[text : end + 1] - self.at[text])
+            parts.append(places + self.at[text])
+            hashes.append(found)
+            text = end
+        self.anchor, self.first, self.last = np.concatenate(parts, axis=1)
+        self.gram, self.whole = np.concatenate(hashes, axis=1)
         self.owner = np.searchsorted(self.at, self.anchor, "right") - 1
-        self.sums = sums
 
     def find_contexts(self) -> None:
         """Distinct (gram, context) in order: their hashes, smallest and largest ids, one anchor each;
@@ -120,10 +138,8 @@ class Block:
             self.number = self.one = self.low = self.high = np.zeros(0, np.int64)
             self.keys = self.context = np.zeros(0, np.uint64)
             return
-        shape = ((self.anchor - self.first) * 64 + self.last - self.anchor + BEFORE).astype(np.uint64)
-        whole = bs.mix(bs.span_hash(self.sums, self.first, self.last + SPAN) ^ bs.mix(shape))
-        order = np.lexsort((whole, self.gram))
-        gram, context = self.gram[order], whole[order]
+        order = np.lexsort((self.whole, self.gram))
+        gram, context = self.gram[order], self.whole[order]
         new = np.append(True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]))
         begin = np.flatnonzero(new)
         self.number = np.empty(len(order), np.int64)
