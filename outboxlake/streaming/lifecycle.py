@@ -175,13 +175,14 @@ class Lifecycle(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         s = self._load()
         before = _deadline(s)
-        for chunk in rows:
-            out = []
-            for m in chunk.sort_values(["at", "seq"]).to_dict("records"):
-                at = int(pd.Timestamp(m["at"]).timestamp() * 1000)
-                fold(s, m, at)
-                out.append(_row(key[0], s, at, m["action"] or m["type"]))
-            yield _frame(out)
+        # The order holds across Arrow chunks: one delivery's messages of a micro-batch are sorted as a whole.
+        messages = pd.concat(list(rows), ignore_index=True).sort_values(["at", "seq"])
+        out = []
+        for m in messages.to_dict("records"):
+            at = int(pd.Timestamp(m["at"]).timestamp() * 1000)
+            fold(s, m, at)
+            out.append(_row(key[0], s, at, m["action"] or m["type"]))
+        yield _frame(out)
         self._save(s, before)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
