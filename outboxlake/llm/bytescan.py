@@ -138,5 +138,17 @@ def packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
+def squeezed(values: np.ndarray, size: int) -> bytes:
+    """The low `size` bytes of each 64-bit word."""
+    return packed(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size])
+
+
+def widened(values: list[bytes], size: int) -> np.ndarray:
+    few = np.frombuffer(b"".join(values), np.uint8).reshape(-1, size)
+    out = np.zeros((len(few), 8), np.uint8)
+    out[:, :size] = few
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

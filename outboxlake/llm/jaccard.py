@@ -48,6 +48,9 @@ SHARED = ((22, 16), (11, 8), (1, 3))
 #: Entries of the list of frequent shingles that is sent to all tasks (8 bytes each).
 FREQUENT = 1 << 16
 CHUNK = 256
+#: Bytes kept of a prefix shingle's hash, and those that travel beside its bucket. Shingles
+#: that agree in them only add candidates; pairs are checked on whole hashes.
+PREFIX_BYTES, KEY_BYTES = 6, 5
 LEAF = 16
 _MASK = np.uint64((1 << 56) - 1)
 
@@ -182,22 +185,28 @@ def _block(piece: pa.RecordBatch, late: np.ndarray, name: str) -> pa.RecordBatch
             pa.array([bs.packed(known.astype(np.int64))]),
             pa.array([bs.packed(keep.astype(np.int32))]),
             pa.array([bs.packed(needs.astype(np.int32))]),
-            pa.array([bs.packed(chosen)]),
+            pa.array([bs.squeezed(chosen >> np.uint64(56 - 8 * PREFIX_BYTES), PREFIX_BYTES)]),
         ],
         schema=_BLOCKS,
     )
 
 
+_SENT_DDL = "bucket int, block string, start int, base long, keys binary, low binary, many binary"
+
+
 def _send(buckets: int):
     """Each shingle of a block once, with the smallest text that holds it and whether others do."""
+    schema = pa.schema(
+        [("bucket", pa.int32()), ("block", pa.string()), ("start", pa.int32()), ("base", pa.int64())]
+        + [(c, pa.binary()) for c in ("keys", "low", "many")]
+    )
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("keys", pa.binary()), ("low", pa.binary()), ("many", pa.binary())])
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], np.int64)
                 owner = np.repeat(ids, np.frombuffer(row["lengths"], np.int32))
-                keys = np.frombuffer(row["prefix"], np.uint64)
+                keys = bs.widened([row["prefix"]], PREFIX_BYTES)
                 if not len(keys):
                     continue
                 order = np.lexsort((owner, keys))
@@ -206,54 +215,70 @@ def _send(buckets: int):
                 last = np.append(first[1:], len(keys)) - 1
                 many = owner[first] != owner[last]
                 keys, low = keys[first], owner[first]
+                base = int(low.min())
+                low = near(low - base)
                 to = bucket_of(keys, buckets)
                 cut = np.searchsorted(to, np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(cut))
+                parts = [slice(cut[b], cut[b + 1]) for b in full]
                 yield bs.batch_of(
                     schema,
                     full,
                     [row["block"]] * len(full),
-                    [bs.packed(keys[cut[b] : cut[b + 1]]) for b in full],
-                    [bs.packed(low[cut[b] : cut[b + 1]]) for b in full],
-                    [bs.packed(many[cut[b] : cut[b + 1]]) for b in full],
+                    cut[full],
+                    [base] * len(full),
+                    [bs.squeezed(keys[k], KEY_BYTES) for k in parts],
+                    [bs.packed(low[k]) for k in parts],
+                    [bs.packed(np.packbits(many[k])) for k in parts],
                 )
 
     return send
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Equal ranges of 56-bit keys; sorted keys give sorted buckets."""
-    return ((keys >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """Equal ranges of prefix keys; sorted keys give sorted buckets."""
+    return ((keys >> np.uint64(8 * PREFIX_BYTES - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def near(ids: np.ndarray) -> np.ndarray:
+    """Four bytes a number where all fit."""
+    return ids.astype(np.uint32) if len(ids) and ids.min() >= 0 and ids.max() < 1 << 32 else ids.astype(np.int64)
+
+
+def near_ids(value: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(value, np.uint32 if len(value) == 4 * n else np.int64).astype(np.int64)
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For every block of a bucket: its shingles that another text holds too, with their pivot."""
-    sizes = pdf["keys"].map(len).to_numpy() // 8
-    keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
-    low = np.frombuffer(b"".join(pdf["low"]), np.int64)
-    many = np.frombuffer(b"".join(pdf["many"]), bool)
-    of = np.repeat(np.arange(len(pdf)), sizes)
+    """For every block of a bucket: which of its shingles another text holds too, and their pivots."""
+    sizes = pdf["keys"].map(len).to_numpy() // KEY_BYTES
+    keys = bs.widened(list(pdf["keys"]), KEY_BYTES)
+    low = np.concatenate([near_ids(v, n) + base for v, base, n in zip(pdf["low"], pdf["base"], sizes, strict=True)])
+    many = np.concatenate([np.unpackbits(np.frombuffer(v, np.uint8), count=n) for v, n in zip(pdf["many"], sizes, strict=True)])
     order = np.lexsort((low, keys))
     sorted_keys, sorted_low = keys[order], low[order]
     first = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])
     run = np.cumsum(first) - 1
     begin = np.flatnonzero(first)
-    pivot = sorted_low[begin]
     last = sorted_low[np.append(begin[1:], len(keys)) - 1]
-    shared = (last != pivot) | np.bitwise_or.reduceat(many[order], begin)
-    use = shared[run]
-    index = order[use]
-    back = np.argsort(of[index], kind="stable")
-    index, pivots = index[back], pivot[run[use]][back]
-    cut = np.searchsorted(of[index], np.arange(len(pdf) + 1))
-    full = np.flatnonzero(np.diff(cut))
-    return pd.DataFrame(
+    shared = (last != sorted_low[begin]) | (np.bitwise_or.reduceat(many[order], begin) > 0)
+    use, pivot = np.empty(len(keys), bool), np.empty(len(keys), np.int64)
+    use[order], pivot[order] = shared[run], sorted_low[begin][run]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    parts = [slice(a, b) for a, b in zip(at, at[1:], strict=False)]
+    out = pd.DataFrame(
         {
-            "block": pdf["block"].to_numpy()[full],
-            "keys": [bs.packed(keys[index[cut[b] : cut[b + 1]]]) for b in full],
-            "pivots": [bs.packed(pivots[cut[b] : cut[b + 1]]) for b in full],
+            "block": pdf["block"],
+            "start": pdf["start"],
+            "size": sizes,
+            "used": [bs.packed(np.packbits(use[k])) for k in parts],
+            "pivots": [bs.packed(near(pivot[k][use[k]])) for k in parts],
         }
     )
+    return out[out["pivots"].map(len) > 0]
+
+
+_MET_DDL = "block string, start int, size int, used binary, pivots binary"
 
 
 def _memberships(blocks: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
@@ -262,24 +287,24 @@ def _memberships(blocks: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
     if blocks.empty or back.empty:
         return none
     row = blocks.iloc[0]
-    keys = np.frombuffer(b"".join(back["keys"]), np.uint64)
-    pivots = np.frombuffer(b"".join(back["pivots"]), np.int64)
-    order = np.argsort(keys)
-    keys, pivots = keys[order], pivots[order]
-    own = np.frombuffer(row["prefix"], np.uint64)
+    own = bs.widened([row["prefix"]], PREFIX_BYTES)
     ids, lengths = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int32)
     owner = np.repeat(np.arange(len(ids)), lengths)
-    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-    hit = keys[at] == own
+    distinct, number = np.unique(own, return_inverse=True)
+    used, pivots = np.zeros(len(distinct), bool), np.zeros(len(distinct), np.int64)
+    for start, size, bits, low in zip(back["start"], back["size"], back["used"], back["pivots"], strict=True):
+        at = start + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=size))
+        used[at], pivots[at] = True, near_ids(low, len(at))
+    hit = used[number]
     enough = np.bincount(owner[hit], minlength=len(ids)) >= np.frombuffer(row["needs"], np.int32)
     hit &= enough[owner]
-    pairs = pd.DataFrame({"doc_id": ids[owner[hit]], "pivot": pivots[at[hit]]}).drop_duplicates()
+    pairs = pd.DataFrame({"doc_id": ids[owner[hit]], "pivot": pivots[number[hit]]}).drop_duplicates()
     pairs["pivot"] = pairs["pivot"].astype("Int64")
     order = np.lexsort((own[hit], owner[hit]))
     shared, of = own[hit][order], owner[hit][order]
     cut = np.searchsorted(of, np.arange(len(ids) + 1))
     full = np.flatnonzero(np.diff(cut))
-    lists = pd.DataFrame({"doc_id": ids[full], "shared": [bs.packed(shared[cut[k] : cut[k + 1]]) for k in full]})
+    lists = pd.DataFrame({"doc_id": ids[full], "shared": [bs.squeezed(shared[cut[k] : cut[k + 1]], PREFIX_BYTES) for k in full]})
     return pd.concat([pairs, lists])[["doc_id", "pivot", "shared"]]
 
 
@@ -389,8 +414,8 @@ def _candidates(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarr
 def _active(pdf: pd.DataFrame) -> pd.DataFrame:
     """The members of one chunk that have a possible partner in another component."""
     residents, left, q, x = _candidates(pdf)
-    left_lists = [np.frombuffer(v, np.uint64) for v in left["shared"]]
-    right_lists = [np.frombuffer(v, np.uint64) for v in residents["shared"]]
+    left_lists = [bs.widened([v], PREFIX_BYTES) for v in left["shared"]]
+    right_lists = [bs.widened([v], PREFIX_BYTES) for v in residents["shared"]]
     need = np.minimum(common_in_prefix(left["n"].to_numpy())[q], common_in_prefix(residents["n"].to_numpy())[x])
     keep = [common(left_lists[i], right_lists[j]) >= k for i, j, k in zip(q.tolist(), x.tolist(), need.tolist(), strict=True)]
     q, x = q[np.array(keep, bool)], x[np.array(keep, bool)]
@@ -437,11 +462,9 @@ def shingle_classes(docs: DataFrame) -> DataFrame:
     same = stored(same, "classes")
 
     volume = blocks.agg(F.sum(F.length("prefix")), F.count("*")).first()
-    buckets = max(64, int((volume[0] or 0) // (4 << 20)))
-    sent = blocks.select("block", "ids", "lengths", "prefix").mapInArrow(
-        _send(buckets), "bucket int, block string, keys binary, low binary, many binary"
-    )
-    back = sent.groupBy("bucket").applyInPandas(_meet, "block string, keys binary, pivots binary")
+    buckets = max(64, int((volume[0] or 0) // (3 << 20)))
+    sent = blocks.select("block", "ids", "lengths", "prefix").mapInArrow(_send(buckets), _SENT_DDL)
+    back = sent.groupBy("bucket").applyInPandas(_meet, _MET_DDL)
     own = blocks.select("block", "ids", "lengths", "needs", "prefix")
     member = own.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(
         _memberships, "doc_id long, pivot long, shared binary"

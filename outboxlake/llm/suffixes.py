@@ -158,17 +158,6 @@ _GRAM_BYTES, _CONTEXT_BYTES = 5, 4
 _OFFER_DDL = "bucket int, block string, start int, base long, keys binary, contexts binary, low binary, many binary"
 
 
-def _short(x: np.ndarray, size: int) -> bytes:
-    return bs.packed(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size])
-
-
-def _long(values: list[bytes], size: int) -> np.ndarray:
-    few = np.frombuffer(b"".join(values), np.uint8).reshape(-1, size)
-    out = np.zeros((len(few), 8), np.uint8)
-    out[:, :size] = few
-    return out.view("<u8").ravel().astype(np.uint64)
-
-
 def _offer(buckets: int):
     schema = pa.schema(
         [("bucket", pa.int32()), ("block", pa.string()), ("start", pa.int32()), ("base", pa.int64())]
@@ -195,8 +184,8 @@ def _offer(buckets: int):
                     [row["block"]] * len(full),
                     cut[full],
                     [base] * len(full),
-                    [_short(block.keys[k], _GRAM_BYTES) for k in parts],
-                    [_short(block.context[k], _CONTEXT_BYTES) for k in parts],
+                    [bs.squeezed(block.keys[k], _GRAM_BYTES) for k in parts],
+                    [bs.squeezed(block.context[k], _CONTEXT_BYTES) for k in parts],
                     [bs.packed(low[k]) for k in parts],
                     [bs.packed(np.packbits(block.low[k] != block.high[k])) for k in parts],
                 )
@@ -207,8 +196,8 @@ def _offer(buckets: int):
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     """For every block of a bucket: its contexts of grams in more than one text, with the smallest ids."""
     sizes = pdf["keys"].map(len).to_numpy() // _GRAM_BYTES
-    keys = _long(list(pdf["keys"]), _GRAM_BYTES)
-    contexts = _long(list(pdf["contexts"]), _CONTEXT_BYTES)
+    keys = bs.widened(list(pdf["keys"]), _GRAM_BYTES)
+    contexts = bs.widened(list(pdf["contexts"]), _CONTEXT_BYTES)
     lows = zip(pdf["low"], pdf["base"], sizes, strict=True)
     low = np.concatenate(
         [np.frombuffer(v, np.uint32).astype(np.int64) + b if len(v) == 4 * n else np.frombuffer(v, np.int64) for v, b, n in lows]
