@@ -477,16 +477,15 @@ def shingle_classes(docs: DataFrame) -> DataFrame:
     crowd = member.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1")
     member = stored(member.join(crowd, "pivot").select("doc_id", "pivot", "members"), "tiles")
 
-    need = member.select("doc_id").distinct()
-    texts = docs.join(need, "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(_sets, _SETS_DDL), "sets")
-    chosen = same.select(F.col("rep").alias("doc_id")).distinct()
-    sets = sets.where("n > 0").join(chosen, "doc_id", "left_semi")
+    # Runtime filters are built from filtered scans only; the conditions on stored steps that
+    # always hold (here and below) make them so. Members are representatives already.
+    texts = docs.join(member.where("members > 1").select("doc_id"), "doc_id", "left_semi")
+    sets = stored(texts.mapInArrow(_sets, _SETS_DDL), "sets").where("n > 0")
 
     star = member.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     star = _with_sets(star, sets, "n", "vector").mapInArrow(_within_bound, "a long, b long")
     star = stored(star, "bounded")
-    links = stored(_with_sets(star, sets, "shingles").select("a", "b", "shingles", "shingles_b").mapInArrow(_checked, "a long, b long"), "links")
+    links = stored(_with_sets(star.where("a <> b"), sets, "shingles").select("a", "b", "shingles", "shingles_b").mapInArrow(_checked, "a long, b long"), "links")
     known = components(links)
 
     placed = member.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -517,7 +516,7 @@ def shingle_classes(docs: DataFrame) -> DataFrame:
     key = ("pivot", "chunk", "from")
     work = home.union(hosts).union(guests).join(sets.select("doc_id", "n", "vector"), "doc_id").join(shared, "doc_id")
     active = stored(work.groupBy(*key).applyInPandas(_active, _PLACE_DDL), "active")
-    found = active.join(sets, "doc_id").groupBy(*key).applyInPandas(_search, "a long, b long")
+    found = active.where("chunk >= 0").join(sets, "doc_id").groupBy(*key).applyInPandas(_search, "a long, b long")
     links = links.union(stored(found, "found"))
     final = components(links)
 

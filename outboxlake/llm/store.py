@@ -10,8 +10,22 @@ from outboxlake.session import fresh_path
 BATCH_ROWS = 1000
 
 
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+    # Packed blocks are large rows: batches of them are bounded in bytes as well.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    # Joins of texts or sets with the ids they are needed for drop other rows before the
+    # exchange. The filter's size is bounded (runtime.bloomFilter.maxNumBits); a full one
+    # only lets more rows through to the join itself.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "16m",
+}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     return spark
 
 
