@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outboxlake.llm import chat, crosspolytope, decontaminate, jaccard, labelled, mixing, quality, secrets, suffixes, toxicity, warc
+from outboxlake.llm import chat, crosspolytope, decontaminate, jaccard, labelled, mixing, quality, secrets, suffixes, toxicity, transducer, warc
 from outboxlake.llm.store import table
 
 
@@ -60,6 +61,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
+    path = vocabulary_path or public_tokenizers.path("word_bpe_49k.json")
+    return transducer.digest(transducer.encoded(table(spark, sf_dir, "documents"), path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_archives": op8_archives,
     "op9_secrets": op9_secrets,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_bpe": op13_bpe,
 }
 
 OP5_SQL = """
