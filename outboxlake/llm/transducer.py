@@ -148,15 +148,17 @@ class MergeList:
 
 
 class WordTransducer:
-    """Tokens of one word whose bytes come in parts. Holds at most three times the lookahead."""
+    """Tokens of one word whose bytes come in parts. Holds at most twice its window."""
 
     def __init__(self, merges: MergeList) -> None:
         self.merges = merges
+        #: With more symbols than this, the first token lies beyond the lookahead.
+        self.window = merges.lookahead + max(merges.length.values()) + 1
         self.held: list[int] = []
 
     def feed(self, data: bytes) -> Iterator[int]:
         """Tokens that no later byte can change."""
-        window = 2 * self.merges.lookahead
+        window = self.window
         for at in range(0, len(data), window):
             self.held += data[at : at + window]
             # The last byte may be the word's end, which has a symbol of its own.
