@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outboxlake.llm import chat, crosspolytope, decontaminate, jaccard, labelled, mixing, quality, secrets, suffixes, toxicity, transducer, warc
+from outboxlake.llm import chat, crosspolytope, decontaminate, jaccard, labelled, mixing, quality, ranked, secrets, suffixes, toxicity, transducer, warc
 from outboxlake.llm.store import table
 
 
@@ -61,6 +61,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked.build(table(spark, sf_dir, "documents"))
+    return ranked.search(index, table(spark, sf_dir, "benchmark"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
     path = vocabulary_path or public_tokenizers.path("word_bpe_49k.json")
     return transducer.digest(transducer.encoded(table(spark, sf_dir, "documents"), path))
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_archives": op8_archives,
     "op9_secrets": op9_secrets,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_ranked_search": op11_ranked_search,
     "op13_bpe": op13_bpe,
 }
 
@@ -96,4 +102,22 @@ SELECT conv_id, n_turns, n_copies, text FROM best JOIN texts USING (conv_id)
 WHERE prefix NOT IN (SELECT prefix FROM prefixes WHERE k < n_turns)
 """
 
-ORACLE: dict[str, str] = {"op5_chat_snapshots": OP5_SQL}
+_TERMS = r"""unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"""
+
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+w AS (SELECT r, doc_id, {_TERMS} FROM d),
+sizes AS (SELECT count(DISTINCT r) AS n_docs, count(*) AS n_terms FROM w),
+lengths AS (SELECT r, doc_id, 75 + CAST(25 * count(*) * any_value(n_docs) AS BIGINT) // CAST(any_value(n_terms) AS BIGINT) AS m FROM w, sizes GROUP BY ALL),
+items AS (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, {_TERMS} FROM items) GROUP BY ALL),
+tfs AS (SELECT r, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tfs, sizes GROUP BY term),
+scores AS (SELECT item_id, doc_id, r, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN lengths USING (r) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+ORACLE: dict[str, str] = {"op5_chat_snapshots": OP5_SQL, "op11_ranked_search": OP11_SQL}
