@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outboxlake.llm import chat, crosspolytope, decontaminate, jaccard, labelled, mixing, quality, ranked, secrets, suffixes, toxicity, transducer, warc
+from outboxlake.llm import chat, crosspolytope, decontaminate, jaccard, labelled, mixing, phrases, quality, ranked, secrets, suffixes, toxicity, transducer, warc
 from outboxlake.llm.store import table
 
 
@@ -66,6 +66,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(index, table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
     path = vocabulary_path or public_tokenizers.path("word_bpe_49k.json")
     return transducer.digest(transducer.encoded(table(spark, sf_dir, "documents"), path))
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_ranked_search": op11_ranked_search,
+    "op12_collocations": op12_collocations,
     "op13_bpe": op13_bpe,
 }
 
@@ -120,4 +125,27 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 FROM scores WHERE score > 0 QUALIFY rank <= 20
 """
 
-ORACLE: dict[str, str] = {"op5_chat_snapshots": OP5_SQL, "op11_ranked_search": OP11_SQL}
+OP12_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (SELECT lang, k, phrase, count(*) AS f FROM (
+  SELECT lang, 1 AS k, unnest(ws) AS phrase FROM lists
+  UNION ALL SELECT lang, 2, unnest([array_to_string(ws[i:i + 1], ' ') FOR i IN range(1, len(ws))]) FROM lists
+  UNION ALL SELECT lang, 3, unnest([array_to_string(ws[i:i + 2], ' ') FOR i IN range(1, len(ws) - 1)]) FROM lists
+  UNION ALL SELECT lang, 4, unnest([array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)]) FROM lists) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang),
+often AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS ws FROM grams WHERE f >= 30),
+cuts AS (SELECT o.lang, o.phrase, o.k, o.f AS a, c.cut, h.f AS l, t.f AS r, CAST((2000000::HUGEINT * o.f) // (h.f + t.f) AS BIGINT) AS score
+  FROM often o JOIN range(1, 4) c(cut) ON c.cut < o.k
+  JOIN often h ON h.lang = o.lang AND h.phrase = array_to_string(o.ws[1:c.cut], ' ')
+  JOIN often t ON t.lang = o.lang AND t.phrase = array_to_string(o.ws[c.cut + 1:o.k], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(f) AS longer
+  FROM (SELECT lang, f, k, ws, unnest(range(1, k + 1)) AS i FROM often WHERE k >= 3) x, range(2, 4) s(m) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside n USING (lang, phrase) WHERE n.longer IS NULL OR 100 * n.longer < 80 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLE: dict[str, str] = {"op5_chat_snapshots": OP5_SQL, "op11_ranked_search": OP11_SQL, "op12_collocations": OP12_SQL}
