@@ -39,7 +39,7 @@ from outboxlake.llm.store import prepare, stored
 
 EDGE = 4
 #: Text bytes that a task counts at a time, and that a bucket of edges stands for.
-CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 10 << 20
 #: Parts of a language's phrases that are ranked before all of them are.
 PARTS = 64
 
@@ -71,13 +71,13 @@ class Words:
         a, b = order[:-1][same], order[1:][same]
         if _equal(data, start[a], end[a], start[b], end[b]):
             new = np.append(True, ~same) if len(order) else np.zeros(0, bool)
-            self.of = np.empty(len(order), np.int64)
+            self.of = np.empty(len(order), np.int32)
             self.of[order] = np.cumsum(new) - 1
             first = order[new]
         else:
             # Two words share a hash: the bytes themselves are the keys.
             seen: dict[bytes, int] = {}
-            self.of = np.array([seen.setdefault(data[i:j].tobytes(), len(seen)) for i, j in zip(start, end, strict=True)], np.int64)
+            self.of = np.array([seen.setdefault(data[i:j].tobytes(), len(seen)) for i, j in zip(start, end, strict=True)], np.int32)
             first = np.unique(self.of, return_index=True)[1]
         self.start, self.end, self.code = start[first], end[first], codes[first]
 
@@ -176,8 +176,8 @@ class Unpacked:
         start, end, _ = bs.words(data, np.array([0, len(data)]), _LINE)
         self.words = Words(data, start, end)
         own = np.cumsum([0, *(t.count(b"\n") for t in texts)])
-        grams = [_widen(g).reshape(size, -1).T + at for g, at in zip(pdf["grams"], own, strict=False)]
-        self.grams = self.words.of[np.concatenate(grams)] if grams else np.zeros((0, size), np.int64)
+        grams = [self.words.of[_widen(g).reshape(size, -1).T + at] for g, at in zip(pdf["grams"], own, strict=False)]
+        self.grams = np.concatenate(grams) if grams else np.zeros((0, size), np.int32)
         self.counts = np.concatenate([_widen(c) for c in pdf["counts"]]) if grams else np.zeros(0, np.int64)
         self.of_row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
 

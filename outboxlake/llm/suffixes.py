@@ -20,6 +20,8 @@ Sorting every suffix would move fifty times the input. Instead:
    and read runs of equal prefixes off the common-prefix lengths of neighbours. For each
    distance between string and anchor, equal strings are those with an equal run and equal
    bytes before the anchor; the smallest id among them goes back to the blocks.
+   Whole contexts that are equal are told apart from others by 128 bits of two independent
+   hashes, grams (which only nominate) by 40 bits beside their bucket.
 5. Blocks mark the strings whose smallest id is below their text's and cut the union.
 
 Null text is empty. A null id counts as larger than all others. Rows with equal ids do not
@@ -78,13 +80,23 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k += 1
 
 
+_SECOND = np.random.default_rng(20240503).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+
+
+def _second_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums as `bytescan.prefix_hash`, of other codes."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_SECOND[data] * bs.powers(len(data))[0][: len(data)], out=sums[1:])
+    return sums
+
+
 def _anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor, first, last) places and (gram, context) hashes of the anchors of these texts."""
+    """(anchor, first, last) places and (gram, context, second context) hashes of the anchors of these texts."""
     n = len(data)
     ends = np.repeat(at[1:], np.diff(at))
     whole = np.flatnonzero(np.arange(n) + SPAN <= ends)
     if not len(whole):
-        return np.zeros((3, 0), np.int64), np.zeros((2, 0), np.uint64)
+        return np.zeros((3, 0), np.int64), np.zeros((3, 0), np.uint64)
     sums = bs.prefix_hash(data)
     grams = bs.mix((sums[GRAM:] - sums[:-GRAM]) * bs.powers(n)[1][: n - GRAM + 1])
     least = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
@@ -100,7 +112,8 @@ def _anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     last = whole[np.append(new[1:], len(place)) - 1]
     shape = ((anchor - first) * 64 + last - anchor + BEFORE).astype(np.uint64)
     context = bs.mix(bs.span_hash(sums, first, last + SPAN) ^ bs.mix(shape))
-    return np.stack([anchor, first, last]), np.stack([grams[anchor], context])
+    second = bs.mix(bs.span_hash(_second_sums(data), first, last + SPAN) ^ shape)
+    return np.stack([anchor, first, last]), np.stack([grams[anchor], context, second])
 
 
 class Block:
@@ -119,7 +132,7 @@ class Block:
         Texts are taken a few at a time, so that working memory does not grow with the block.
         """
         parts, text = [np.zeros((3, 0), np.int64)], 0
-        hashes = [np.zeros((2, 0), np.uint64)]
+        hashes = [np.zeros((3, 0), np.uint64)]
         while text < len(self.ids):
             end = max(int(np.searchsorted(self.at, self.at[text] + STEP_BYTES, "right")) - 1, text + 1)
             places, found = _anchors(self.data[self.at[text] : self.at[end]], self.at[text : end + 1] - self.at[text])
@@ -127,7 +140,7 @@ class Block:
             hashes.append(found)
             text = end
         self.anchor, self.first, self.last = np.concatenate(parts, axis=1)
-        self.gram, self.whole = np.concatenate(hashes, axis=1)
+        self.gram, self.whole, self.second = np.concatenate(hashes, axis=1)
         self.owner = np.searchsorted(self.at, self.anchor, "right") - 1
 
     def find_contexts(self) -> None:
@@ -136,11 +149,12 @@ class Block:
         self.find_anchors()
         if not len(self.anchor):
             self.number = self.one = self.low = self.high = np.zeros(0, np.int64)
-            self.keys = self.context = np.zeros(0, np.uint64)
+            self.keys = np.zeros(0, np.uint64)
+            self.context = np.zeros((0, 2), np.uint64)
             return
-        order = np.lexsort((self.whole, self.gram))
-        gram, context = self.gram[order], self.whole[order]
-        new = np.append(True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]))
+        order = np.lexsort((self.second, self.whole, self.gram))
+        gram, context = self.gram[order], np.column_stack([self.whole[order], self.second[order]])
+        new = np.append(True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]).any(axis=1))
         begin = np.flatnonzero(new)
         self.number = np.empty(len(order), np.int64)
         self.number[order] = np.cumsum(new) - 1
@@ -153,8 +167,8 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-#: Bytes that travel of a gram's hash (beside its bucket) and of a context's hash.
-_GRAM_BYTES, _CONTEXT_BYTES = 5, 4
+#: Bytes that travel of a gram's hash (beside its bucket); a context's hashes travel whole.
+_GRAM_BYTES = 5
 _OFFER_DDL = "bucket int, block string, start int, base long, keys binary, contexts binary, low binary, many binary"
 
 
@@ -185,7 +199,7 @@ def _offer(buckets: int):
                     cut[full],
                     [base] * len(full),
                     [bs.squeezed(block.keys[k], _GRAM_BYTES) for k in parts],
-                    [bs.squeezed(block.context[k], _CONTEXT_BYTES) for k in parts],
+                    [bs.packed(block.context[k]) for k in parts],
                     [bs.packed(low[k]) for k in parts],
                     [bs.packed(np.packbits(block.low[k] != block.high[k])) for k in parts],
                 )
@@ -197,7 +211,7 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     """For every block of a bucket: its contexts of grams in more than one text, with the smallest ids."""
     sizes = pdf["keys"].map(len).to_numpy() // _GRAM_BYTES
     keys = bs.widened(list(pdf["keys"]), _GRAM_BYTES)
-    contexts = bs.widened(list(pdf["contexts"]), _CONTEXT_BYTES)
+    contexts = np.frombuffer(b"".join(pdf["contexts"]), np.uint64).reshape(-1, 2)
     lows = zip(pdf["low"], pdf["base"], sizes, strict=True)
     low = np.concatenate(
         [np.frombuffer(v, np.uint32).astype(np.int64) + b if len(v) == 4 * n else np.frombuffer(v, np.int64) for v, b, n in lows]
@@ -205,13 +219,13 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(pdf["many"], sizes, strict=True)])
     of = np.repeat(np.arange(len(pdf)), sizes)
     place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(pdf["start"].to_numpy(), sizes)
-    order = np.lexsort((contexts, keys))
+    order = np.lexsort((contexts[:, 1], contexts[:, 0], keys))
     keys, contexts, low = keys[order], contexts[order], low[order]
     new = np.append(True, keys[1:] != keys[:-1])
     begin = np.flatnonzero(new)
     texts = (np.maximum.reduceat(low, begin) != np.minimum.reduceat(low, begin)) | (np.maximum.reduceat(many[order], begin) > 0)
     use = np.repeat(texts, np.diff(np.append(begin, len(keys))))
-    both = np.flatnonzero(new | np.append(True, contexts[1:] != contexts[:-1]))
+    both = np.flatnonzero(new | np.append(True, (contexts[1:] != contexts[:-1]).any(axis=1)))
     least = np.repeat(np.minimum.reduceat(low, both), np.diff(np.append(both, len(keys))))
     index, least = order[use], least[use]
     back = np.argsort(index)
@@ -312,7 +326,15 @@ def smallest_ids(context: np.ndarray, ranges: np.ndarray, low: np.ndarray) -> tu
         run = np.cumsum(np.append(True, common < SPAN - distance)).astype(np.uint64)[has]
         key = bs.mix(run * np.uint64(0x9E3779B97F4A7C15) ^ bs.mix(before[has]))
         by = np.argsort(key, kind="stable")
-        begin = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))
+        same = key[by][1:] == key[by][:-1]
+        left = context[has[by], BEFORE - distance : BEFORE]
+        differ = (run[by][1:] != run[by][:-1]) | (left[1:] != left[:-1]).any(axis=1)
+        if (same & differ).any():
+            # Two strings share a hash: their bytes are the key.
+            by = np.lexsort((*left[np.argsort(by)].T, run))
+            left = context[has[by], BEFORE - distance : BEFORE]
+            same = (run[by][1:] == run[by][:-1]) & (left[1:] == left[:-1]).all(axis=1)
+        begin = np.flatnonzero(np.append(True, ~same))
         least = np.repeat(np.minimum.reduceat(low[has][by], begin), np.diff(np.append(begin, len(by))))
         smaller = least < low[has][by]
         rows.append(order[has[by][smaller]])

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+
+from outboxlake.llm import suffixes
 from outboxlake.llm.components import components
 from outboxlake.llm.jaccard import shingle_classes
 from outboxlake.llm.suffixes import repeated_strings
@@ -73,6 +76,35 @@ def test_repeated_strings_match_brute_force(spark):
     assert got == brute.repeated(rows)
 
 
+def test_texts_that_share_a_middle_are_kept(spark):
+    # Any two of these differ in every 50-byte string; only 20 bytes in the middle are common.
+    rng = random.Random(9)
+    letters = "abcdefghijklmnop"
+    rows = [(k, "".join(rng.choices(letters, k=15)) + "x" * 20 + "".join(rng.choices(letters, k=15))) for k in range(150_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert repeated_strings(docs).where("n_removed > 0").count() == 0
+
+
+def test_strings_of_equal_hash_are_told_apart(monkeypatch):
+    rng = random.Random(3)
+    context = np.array([[rng.choice(b"ab") for _ in range(80)] for _ in range(40)], np.uint8)
+    context[:, 30:] = context[0, 30:]
+    ranges, low = np.tile(np.array([0, 30], np.uint8), (40, 1)), np.arange(40)
+    want = {}
+    for i in range(40):
+        for d in range(31):
+            least = min(j for j in range(40) if (context[j, 30 - d : 80 - d] == context[i, 30 - d : 80 - d]).all())
+            if least < i:
+                want.setdefault((i, least), set()).add(d)
+    for blind in (False, True):
+        if blind:
+            monkeypatch.setattr(suffixes.bs, "mix", lambda x: np.zeros_like(x))
+        got = {}
+        for row, mask, least in zip(*suffixes.smallest_ids(context, ranges, low), strict=True):
+            got.setdefault((int(row), int(least)), set()).update(d for d in range(31) if int(mask) >> d & 1)
+        assert got == want
+
+
 def test_repeated_strings_of_odd_tables(spark):
     assert repeated_strings(spark.createDataFrame([], DDL)).collect() == []
     text = "0123456789" * 6
