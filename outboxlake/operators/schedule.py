@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from outboxlake.functions import times
 from outboxlake.functions.text import cut_utf8
 from outboxlake.operators import fanout
+from outboxlake.operators.numbering import dense_ids
 from outboxlake.options import Options
 from outboxlake.schemas import DELIVERY_COLUMNS
 
@@ -20,7 +21,8 @@ class ScheduleResult:
     """``new_rows`` to append, ``rejects`` (every refused callback, also those whose row
     lost to an earlier one), ``corrupt`` events and the one-row ``cursor``.
 
-    Each is planned on first use.
+    Each is planned on first use. ``highest`` is the highest delivery id given so far, by
+    default the one in ``deliveries``.
     """
 
     batch: DataFrame
@@ -28,15 +30,13 @@ class ScheduleResult:
     opts: Options
     as_of: times.AsOf
     start: int | Column
+    highest: int | None = None
 
     @cached_property
     def new_rows(self) -> DataFrame:
         judged = fanout.judge_callbacks(self.batch, self.opts, mark_duplicates=False)
-        # An array of n elements has at least 2n + 1 bytes, more than the 2n ordinals.
-        stride = self.batch.agg(F.coalesce(F.max(F.octet_length("callbacks")), F.lit(1)))
-        return append_deliveries(
-            delivery_candidates(judged), self.deliveries, self.as_of, stride.scalar(), self.start
-        )
+        candidates = delivery_candidates(judged)
+        return append_deliveries(candidates, self.deliveries, self.as_of, self.highest)
 
     @cached_property
     def rejects(self) -> DataFrame:
@@ -81,17 +81,16 @@ def append_deliveries(
     candidates: DataFrame,
     deliveries: DataFrame,
     as_of: times.AsOf,
-    stride: int | Column,
-    cursor: int | Column = 0,
+    highest: int | None = None,
 ) -> DataFrame:
     """New delivery rows for the candidates whose (event, callback) is absent.
 
     The earliest candidate of a key wins; copies are combined before the shuffle. The
     anti-join uses the same keys as the aggregation, so candidates move once.
 
-    Ids continue after the highest existing one, in event order, with gaps as a
-    sequence leaves them: each event owns ``stride`` numbers, of which a row takes the
-    one of its ordinal. No global numbering pass is needed.
+    Ids follow ``highest`` (by default the highest id of ``deliveries``) without gaps, in
+    the order of events and of rows within an event; see ``numbering``. The rows to insert
+    are worked out and written when this is called.
     """
     time_type = deliveries.schema["created_at"].dataType.simpleString()
     row = F.struct(
@@ -102,25 +101,26 @@ def append_deliveries(
         deliveries.select("event_id", "callback_name"),
         ["event_id", "callback_name"],
         "left_anti",
-    )
-    top = deliveries.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    place = (F.col("r.event_seq") - cursor - 1) * stride + F.col("r.ordinal") + 1
+    ).select("event_id", "callback_name", "r.*")
+    if highest is None:
+        highest = deliveries.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).first()["id"]
+    order = ["event_seq", "ordinal", "event_id", "callback_name"]
     now = times.instant(as_of, time_type)
     empty_time = F.lit(None).cast(time_type)
-    return fresh.select(
-        (top + place).cast("bigint").alias("id"),
+    return dense_ids(fresh, order, highest).select(
+        F.col("id").cast("bigint").alias("id"),
         "event_id",
         "callback_name",
-        F.col("r.completion_mode").alias("completion_mode"),
+        "completion_mode",
         F.lit(0).cast("int").alias("attempts"),
-        F.col("r.last_error").alias("last_error"),
+        "last_error",
         empty_time.alias("last_attempt_at"),
         now.alias("available_at"),
         empty_time.alias("locked_until"),
         empty_time.alias("dispatched_at"),
         empty_time.alias("processed_at"),
         F.lit(0).cast("int").alias("completion_cycles"),
-        F.col("r.dead_letter").alias("dead_letter"),
+        "dead_letter",
         now.alias("created_at"),
     ).select(*DELIVERY_COLUMNS)
 
@@ -132,10 +132,11 @@ def schedule_deliveries(
     as_of: times.AsOf,
     cursor: int | Column = 0,
     limit: int | None = None,
+    highest: int | None = None,
 ) -> ScheduleResult:
     """Fan new events out into pending and dead-lettered delivery rows."""
     batch = new_events(events, cursor, limit)
-    return ScheduleResult(batch, deliveries, opts, as_of, cursor)
+    return ScheduleResult(batch, deliveries, opts, as_of, cursor, highest)
 
 
 def rejects(events: DataFrame, opts: Options) -> DataFrame:
@@ -183,9 +184,10 @@ def rescan_since(
     opts: Options,
     as_of: times.AsOf,
     since: times.AsOf,
+    highest: int | None = None,
 ) -> ScheduleResult:
     """Backfill in one pass: schedule everything behind the rescan cursor."""
     start = rescan_cursor(events, since).scalar()
-    return schedule_deliveries(events, deliveries, opts, as_of, start)
+    return schedule_deliveries(events, deliveries, opts, as_of, start, highest=highest)
 
 

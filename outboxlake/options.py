@@ -118,6 +118,11 @@ class RetentionOptions:
         if problems:
             raise OptionsError(problems)
 
+    @property
+    def longest_seconds(self) -> int:
+        """Age beyond which no event is kept for its own sake."""
+        return 86_400 * max(self.processed_days, self.dead_letter_days)
+
 
 @dataclass(frozen=True)
 class Page:

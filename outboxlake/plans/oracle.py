@@ -266,11 +266,9 @@ NEW_ROW = (
 )
 
 
-def scheduled(events: str = "outbox_events", cursor: str = "0") -> str:
-    return f"""SELECT (SELECT max(id) FROM outbox_deliveries)
- + (seq - {cursor} - 1) * (SELECT max(strlen(callbacks)) FROM {events} WHERE id > {cursor}) + ordinal + 1 AS id,
+def scheduled(cursor: str = "0", highest: str = "(SELECT max(id) FROM outbox_deliveries)", where: str = "true") -> str:
+    """Rows to insert, numbered behind the highest id in the order of events and of rows within one."""
+    return f"""SELECT {highest} + row_number() OVER (ORDER BY seq, ordinal) AS id,
  c.event_id, label AS callback_name, mode AS completion_mode, {NEW_ROW}
  FROM candidates c ANTI JOIN outbox_deliveries d ON d.event_id = c.event_id AND d.callback_name = c.label
- WHERE seq > {cursor}"""
-
-
+ WHERE seq > {cursor} AND {where}"""

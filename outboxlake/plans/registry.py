@@ -228,10 +228,7 @@ def _(t: Tables):
 @register("append_deliveries", W + f"SELECT {D} FROM ({oracle.scheduled()}) x UNION ALL SELECT {D} FROM outbox_deliveries")
 def _(t: Tables):
     judged = fanout.judge_callbacks(t.spread_events, WHOLE)
-    stride = t.events.agg(F.max(F.octet_length("callbacks"))).scalar()
-    rows = schedule.append_deliveries(
-        schedule.delivery_candidates(judged), t.deliveries, AS_OF, stride
-    )
+    rows = schedule.append_deliveries(schedule.delivery_candidates(judged), t.deliveries, AS_OF)
     return t.deliveries.select(*DELIVERY_COLUMNS).unionByName(rows)
 
 
@@ -339,7 +336,7 @@ def _(t: Tables):
     return schedule.schedule_deliveries(t.spread_events, t.deliveries, WHOLE, AS_OF).new_rows
 
 
-@register("schedule_deliveries_varied", V + oracle.scheduled("varied_events"))
+@register("schedule_deliveries_varied", V + oracle.scheduled())
 def _(t: Tables):
     return schedule.schedule_deliveries(t.spread_varied, t.deliveries, WHOLE, AS_OF).new_rows
 
@@ -981,8 +978,8 @@ def _sink(t: Tables) -> streams.DeliverySink:
     return streams.DeliverySink(t.spark, fresh_path(t.spark, "deliveries"), t.deliveries)
 
 
-def _scheduled_stream(t: Tables, sink: streams.DeliverySink) -> None:
-    events = fixtures.derive_from(_stream(t), "outbox_events")
+def _scheduled_stream(t: Tables, sink: streams.DeliverySink, where: str = "true") -> None:
+    events = fixtures.derive_from(_stream(t), "outbox_events").where(where)
     state = fresh_path(t.spark, "schedule-state")
     streams.run_schedule(events, sink, WHOLE, state, AS_OF).awaitTermination()
 
@@ -994,50 +991,71 @@ def _(t: Tables):
     return sink.new_rows()
 
 
-@register("stream_rescan", W + f"SELECT {D} FROM outbox_deliveries WHERE false")
+# The stream missed the events of an outage, and a rescan from its start makes up for them.
+_MISSED = "created_at >= TIMESTAMP_NTZ '2024-01-15 00:00:00' AND created_at < TIMESTAMP_NTZ '2024-01-18 00:00:00'"
+_MISSED_SEQ = f"seq IN (SELECT id FROM outbox_events WHERE {_MISSED.replace('TIMESTAMP_NTZ', 'TIMESTAMP')})"
+
+
+@register(
+    "stream_rescan",
+    W + ", streamed AS (" + oracle.scheduled(where=f"NOT {_MISSED_SEQ}") + ") "
+    + oracle.scheduled(cursor=_START, highest="(SELECT max(id) FROM streamed)", where=_MISSED_SEQ),
+)
 def _(t: Tables):
     sink = _sink(t)
-    _scheduled_stream(t, sink)
+    _scheduled_stream(t, sink, f"NOT ({_MISSED})")
     return streams.stream_rescan(t.events, sink, WHOLE, AS_OF, SINCE)
 
 
-@register("stream_dedupe", W + "SELECT DISTINCT event_id, label FROM judged")
+#: Micro-batches that the streams below are cut into, none in the order of the events.
+_BATCHES = 6
+
+
+def _scattered(t: Tables) -> DataFrame:
+    """The given events as a stream of files, each with events of all times."""
+    path = fresh_path(t.spark, "scattered")
+    t.base.repartition(_BATCHES, F.xxhash64("event_id")).write.parquet(path)
+    return t.spark.readStream.schema(t.base.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@register(
+    "stream_dedupe",
+    V + """SELECT id, event_id, label, CAST(pos AS INTEGER) AS pos, NOT valid AS dead_letter FROM judged
+ QUALIFY row_number() OVER (PARTITION BY event_id, label ORDER BY valid DESC, pos) = 1""",
+)
 def _(t: Tables):
-    events = fixtures.derive_from(_stream(t), "outbox_events")
-    replayed = events.unionByName(fixtures.derive_from(_stream(t), "outbox_events"))
-    return streams.run_to_table(streams.stream_dedupe(replayed, WHOLE), "dedupe").select(
-        "event_id", "label"
-    )
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    events = fixtures.derive_from(_scattered(t), "varied_events")
+    replayed = events.unionByName(fixtures.derive_from(_scattered(t), "varied_events"))
+    return streams.run_to_table(streams.stream_dedupe(replayed, WHOLE), "dedupe", idle_batches=False)
 
 
-_CLOSED = "(SELECT max(created_at) FROM varied_events) - INTERVAL 1 MINUTE"
+def _counted(t: Tables, rows: DataFrame, sink: streams.CountSink) -> DataFrame:
+    streams.run_counts(rows, sink, fresh_path(t.spark, "counts-state")).awaitTermination()
+    totals = sink.totals()
+    return totals.select(*[F.col(n).cast("timestamp_ntz").alias(n) if k == "timestamp" else n for n, k in totals.dtypes])
 
 
 @register(
     "stream_metrics",
-    V + f"""SELECT kind, branch, minute, count(*) AS value FROM (SELECT kind, branch, date_trunc('minute', created_at) AS minute
- FROM varied_events JOIN branches USING (id)) m WHERE minute + INTERVAL 1 MINUTE <= {_CLOSED} GROUP BY 1, 2, 3""",
+    V + """SELECT kind, branch, minute, count(*) AS value FROM (SELECT kind, branch, date_trunc('minute', created_at) AS minute
+ FROM varied_events JOIN branches USING (id)) m GROUP BY 1, 2, 3""",
 )
 def _(t: Tables):
-    events = fixtures.derive_from(_stream(t), "varied_events")
-    out = streams.run_to_table(streams.stream_metrics(events, WHOLE), "metrics")
-    return out.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+    rows = streams.stream_metrics(fixtures.derive_from(_scattered(t), "varied_events"), WHOLE)
+    return _counted(t, rows, streams.metrics_sink(t.spark, fresh_path(t.spark, "metrics")))
 
 
 @register(
     "stream_alerts",
-    V + f""", rows AS (SELECT created_at AS happened FROM arrays WHERE n IS NULL AND size <= 1024),
+    V + """, rows AS (SELECT created_at AS happened FROM arrays WHERE n IS NULL AND size <= 1024),
  slid AS (SELECT 'corrupted_rows' AS alert, date_trunc('minute', happened) - to_minutes(k) AS window_start FROM rows CROSS JOIN range(5) o(k))
- SELECT alert, window_start, window_start + INTERVAL 5 MINUTE AS window_end, count(*) AS occurrences FROM slid GROUP BY ALL
- HAVING window_start + INTERVAL 5 MINUTE <= (SELECT max(happened) FROM rows) - INTERVAL 1 MINUTE""",
+ SELECT alert, window_start, window_start + INTERVAL 5 MINUTE AS window_end, count(*) AS occurrences FROM slid GROUP BY ALL""",
 )
 def _(t: Tables):
-    corrupt = fanout.corrupt_events(fixtures.derive_from(_stream(t), "varied_events"), WHOLE)
+    corrupt = fanout.corrupt_events(fixtures.derive_from(_scattered(t), "varied_events"), WHOLE)
     rows = alerts.occurrences(corrupt, alerts.CORRUPT_ROWS, F.col("created_at"))
-    out = streams.run_to_table(streams.stream_alerts(rows), "alerts")
-    return out.withColumns(
-        {n: F.col(n).cast("timestamp_ntz") for n in ("window_start", "window_end")}
-    )
+    return _counted(t, streams.stream_alerts(rows), streams.alerts_sink(t.spark, fresh_path(t.spark, "alerts")))
 
 
 def _messages(t: Tables) -> DataFrame:

@@ -8,70 +8,45 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from outboxlake.functions import times
 from outboxlake.operators import alerts, fanout, schedule
-from outboxlake.options import Options
+from outboxlake.options import Options, RetentionOptions
 from outboxlake.schemas import RUN_LOG
 from outboxlake.session import fresh_path
+from outboxlake.streaming.first_names import CANDIDATES, FirstNames
+from outboxlake.streaming.sinks import CountSink, DeliverySink, writer_of
 
 AVAILABLE_NOW = {"availableNow": True}
+IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+METRICS = "kind string, branch string, minute timestamp, value long"
+ALERTS = "alert string, window_start timestamp, window_end timestamp, occurrences long"
 
 
 def every(opts: Options) -> dict[str, str]:
     return {"processingTime": f"{opts.poll_interval_seconds} seconds"}
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over everything available and returns what it wrote."""
-    spark = stream.sparkSession
-    out, state = fresh_path(spark, label), fresh_path(spark, f"{label}-state")
-    query = (
-        stream.writeStream.outputMode(mode)
-        .format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+def run_to_table(stream: DataFrame, label: str, mode: str = "append", idle_batches: bool = True) -> DataFrame:
+    """Runs a stream over everything available and returns what it wrote.
 
-
-class DeliverySink:
-    """Delivery rows in one folder per micro-batch.
-
-    A batch that is run again replaces its own folder and reads only earlier ones, so a
-    restart after a lost executor or driver neither loses nor repeats rows.
+    Without ``idle_batches`` it stops with the last data: state kept by wall clock asks for
+    another micro-batch for ever.
     """
-
-    def __init__(self, spark: SparkSession, path: str, base: DataFrame):
-        self.spark, self.path, self.base = spark, path, base
-
-    def rows(self, before: int | None = None) -> DataFrame:
-        """Base rows and those written, optionally only by batches before one."""
-        written = self._written(before)
-        return self.base if written is None else self.base.unionByName(written)
-
-    def new_rows(self) -> DataFrame:
-        written = self._written(None)
-        return self.base.limit(0) if written is None else written
-
-    def _written(self, before: int | None) -> DataFrame | None:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return None
-        folders = [s.getPath().getName() for s in fs.listStatus(root)]
-        ids = [int(n.split("=")[1]) for n in folders if n.startswith("batch=")]
-        if before is not None:
-            ids = [i for i in ids if i < before]
-        if not ids:
-            return None
-        return self.spark.read.schema(self.base.schema).parquet(
-            *[f"{self.path}/batch={i}" for i in sorted(ids)]
+    spark = stream.sparkSession
+    out, state = fresh_path(spark, label), fresh_path(spark, f"{label}-state")
+    before = spark.conf.get(IDLE_BATCHES)
+    spark.conf.set(IDLE_BATCHES, str(idle_batches).lower())
+    try:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", state)
+            .trigger(availableNow=True)
+            .start()
         )
-
-    def write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        query.awaitTermination()
+    finally:
+        spark.conf.set(IDLE_BATCHES, before)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def stream_schedule(
@@ -84,13 +59,13 @@ def stream_schedule(
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         now = as_of or batch.sparkSession.sql("SELECT current_timestamp()").head()[0]
+        writer = writer_of(batch)
         batch.persist()
         try:
-            # Ids are counted from the first event of the batch, so that they grow with
-            # the events and not with the number of batches.
-            start = batch.agg(F.coalesce(F.min("id") - 1, F.lit(0))).scalar()
-            result = schedule.schedule_deliveries(batch, sink.rows(batch_id), opts, now, start)
-            sink.write(result.new_rows, batch_id)
+            held = sink.rows_of(batch, writer, batch_id)
+            highest = sink.highest(writer, batch_id)
+            result = schedule.schedule_deliveries(batch, held, opts, now, highest=highest)
+            sink.write(result.new_rows, writer, batch_id)
         finally:
             batch.unpersist()
 
@@ -104,52 +79,79 @@ def run_schedule(
     return writer.trigger(**(trigger or AVAILABLE_NOW)).start()
 
 
-def stream_dedupe(events: DataFrame, opts: Options, delay: str = "1 hour") -> DataFrame:
-    """Delivery candidates without replays that arrive within the watermark delay.
+def stream_dedupe(
+    events: DataFrame, opts: Options, retention: RetentionOptions = RetentionOptions()
+) -> DataFrame:
+    """Delivery candidates without replays, however late those come.
 
-    Later replays are dropped by the anti-join of the insert.
+    One row per (event, callback): of the first micro-batch that has the event, the valid
+    element, else the one that comes first. The names given out are kept per event until it
+    falls under retention; replays after that are dropped by the insert itself. Needs the
+    RocksDB state store (see session).
     """
-    timed = events.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    judged = fanout.judge_callbacks(timed, opts).withWatermark("created_at", delay)
-    first = judged.dropDuplicatesWithinWatermark(["event_id", "label"])
-    return first.select(
-        "id", "event_id", "label", "pos", (~F.col("valid")).alias("dead_letter")
+    candidates = fanout.judge_callbacks(events, opts, mark_duplicates=False).select(
+        "id",
+        "event_id",
+        "label",
+        F.col("pos").cast("int").alias("pos"),
+        (~F.col("valid")).alias("dead_letter"),
+    )
+    keep = retention.longest_seconds * 1000
+    return candidates.groupBy("event_id").transformWithStateInPandas(
+        statefulProcessor=FirstNames(keep),
+        outputStructType=CANDIDATES,
+        outputMode="append",
+        timeMode="processingTime",
     )
 
 
-def stream_metrics(events: DataFrame, opts: Options, delay: str = "1 minute") -> DataFrame:
-    """Events per kind and fan-out branch in tumbling minutes, final once past the delay."""
-    timed = events.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    rows = fanout.classify_events(timed, opts).select("kind", "branch", "created_at")
-    return (
-        rows.withWatermark("created_at", delay)
-        .groupBy("kind", "branch", F.window("created_at", "1 minute").alias("w"))
-        .agg(F.count("*").alias("value"))
-        .select("kind", "branch", F.col("w.start").alias("minute"), "value")
-    )
+def count_stream(rows: DataFrame, sink: CountSink) -> DataStreamWriter:
+    """Adds the counts of each micro-batch of ``rows`` (the sink's keys) to a sink."""
 
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        sink.write(batch.groupBy(*sink.keys).agg(F.count("*").alias(sink.value)), writer_of(batch), batch_id)
 
-def stream_alerts(occurrences: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Sliding-window alerts over a stream of (alert, at) rows."""
-    timed = occurrences.select("alert", F.col("at").cast("timestamp").alias("at"))
-    return (
-        timed.withWatermark("at", delay)
-        .groupBy("alert", F.window("at", alerts.SPAN, alerts.SLIDE).alias("w"))
-        .agg(F.count("*").alias("occurrences"))
-        .select(
-            "alert",
-            F.col("w.start").alias("window_start"),
-            F.col("w.end").alias("window_end"),
-            "occurrences",
-        )
+    return rows.writeStream.foreachBatch(one_batch)
+
+
+def run_counts(
+    rows: DataFrame, sink: CountSink, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    writer = count_stream(rows, sink).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or AVAILABLE_NOW)).start()
+
+
+def metrics_sink(spark: SparkSession, path: str) -> CountSink:
+    return CountSink(spark, path, ["kind", "branch", "minute"], METRICS)
+
+
+def stream_metrics(events: DataFrame, opts: Options) -> DataFrame:
+    """(kind, branch, minute) of every event, to be counted in tumbling minutes by `run_counts`."""
+    minute = F.date_trunc("minute", F.col("created_at").cast("timestamp"))
+    return fanout.classify_events(events, opts).select("kind", "branch", minute.alias("minute"))
+
+
+def alerts_sink(spark: SparkSession, path: str) -> CountSink:
+    return CountSink(spark, path, ["alert", "window_start", "window_end"], ALERTS, "occurrences")
+
+
+def stream_alerts(occurrences: DataFrame) -> DataFrame:
+    """The sliding windows that each row of (alert, at) falls in, to be counted by `run_counts`."""
+    windows = F.window(F.col("at").cast("timestamp"), alerts.SPAN, alerts.SLIDE)
+    return occurrences.select("alert", windows.alias("w")).select(
+        "alert", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end")
     )
 
 
 def stream_rescan(
-    events: DataFrame, sink: DeliverySink, opts: Options, as_of: times.AsOf, since: times.AsOf
+    events: DataFrame, sink: DeliverySink, opts: Options, as_of: times.AsOf, since: times.AsOf, run: str = "rescan"
 ) -> DataFrame:
-    """Batch backfill against the sink of a stream; rows already there stay as they are."""
-    return schedule.rescan_since(events, sink.rows(), opts, as_of, since).new_rows
+    """Batch backfill into the sink of a stream: inserts what is absent of the events behind the
+    cursor of ``since`` and returns the rows it wrote. A run of the same name replaces its rows."""
+    held, highest = sink.rows(run, 0), sink.highest(run, 0)
+    rows = schedule.rescan_since(events, held, opts, as_of, since, highest).new_rows
+    part = sink.write(rows, run, 0)
+    return sink.folders.read([part], sink.base.schema)
 
 
 def run_log(query: StreamingQuery, worker: str) -> DataFrame:

@@ -1,11 +1,14 @@
 import json
+from datetime import timedelta
 
-from outboxlake.operators import schedule
+from pyspark.sql import functions as F
+
+from outboxlake.operators import alerts, schedule
 from outboxlake.options import Options
 from outboxlake.streaming import lifecycle
 from outboxlake.streaming import queries as streams
 
-from .conftest import AS_OF
+from .conftest import AS_OF, T0
 
 NONE = Options(batch_size=None, jitter="none")
 CALLBACKS = json.dumps(
@@ -37,10 +40,114 @@ def test_stream_equals_batch_and_restarts(spark, make_events, make_deliveries, t
     assert set(keys) == {(r.event_id, r.callback_name) for r in batch.collect()}
     ids = [r.id for r in sink.rows().collect()]
     assert len(ids) == len(set(ids))
+    assert sorted(ids) == list(range(10, 17))
     # A batch that is run again replaces its own output.
-    rows = sink.spark.read.parquet(f"{sink.path}/batch=1").collect()
-    sink.write(schedule.schedule_deliveries(second, sink.rows(1), NONE, AS_OF).new_rows, 1)
-    assert len(sink.spark.read.parquet(f"{sink.path}/batch=1").collect()) == len(rows)
+    last = sink.folders.parts()[-1]
+    held, highest = sink.rows(last.writer, last.batch), sink.highest(last.writer, last.batch)
+    again = schedule.schedule_deliveries(second, held, NONE, AS_OF, highest=highest).new_rows
+    before = sorted(map(tuple, sink.rows().collect()))
+    sink.write(again, last.writer, last.batch)
+    assert sorted(map(tuple, sink.rows().collect())) == before
+
+
+def split(spark, df, path, order):
+    """The rows as one file per entry of ``order``, each with its own share, in that order of arrival."""
+    for k, share in enumerate(order):
+        df.where(f"pmod(id, {len(order)}) = {share}").coalesce(1).write.mode("append").parquet(f"{path}/f{k}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{path}/*")
+
+
+def test_split_streams_schedule_the_same_rows(spark, make_events, make_deliveries, tmp_path):
+    events = make_events(*[CALLBACKS] * 23, names=[f"e{k % 20}" for k in range(23)])
+    base = make_deliveries({"id": 10, "event_id": "e3"})
+    want = schedule.schedule_deliveries(events, base, NONE, AS_OF).new_rows.drop("id")
+    for name, order in (("one", [0]), ("many", [4, 1, 3, 0, 2])):
+        sink = streams.DeliverySink(spark, str(tmp_path / name / "out"), base)
+        stream = split(spark, events, str(tmp_path / name / "in"), order)
+        streams.run_schedule(stream, sink, NONE, str(tmp_path / name / "state"), AS_OF).awaitTermination()
+        got = sink.new_rows()
+        assert sorted(map(str, got.drop("id").collect())) == sorted(map(str, want.collect()))
+        assert sorted(r.id for r in got.collect()) == list(range(11, 11 + want.count()))
+
+
+def test_new_checkpoint_and_rescan_share_a_sink(spark, make_events, make_deliveries, tmp_path):
+    events = make_events(*[CALLBACKS] * 6)
+    base = make_deliveries({"id": 10, "event_id": "e0"})
+    sink = streams.DeliverySink(spark, str(tmp_path / "out"), base)
+    source = str(tmp_path / "in")
+    events.where("id <= 2").write.parquet(source)
+    stream = spark.readStream.schema(events.schema).parquet(source)
+    streams.run_schedule(stream, sink, NONE, str(tmp_path / "first"), AS_OF).awaitTermination()
+    events.where("id in (2, 3)").write.mode("append").parquet(source)
+    # The old checkpoint is lost: a new one reads everything again and keeps what is there.
+    streams.run_schedule(stream, sink, NONE, str(tmp_path / "second"), AS_OF).awaitTermination()
+    assert {p.writer for p in sink.folders.parts()} != set() and len(sink.folders.parts()) == 2
+    rescanned = streams.stream_rescan(events, sink, NONE, AS_OF, "2023-01-01 00:00:00").collect()
+    assert {r.event_id for r in rescanned} == {"e4", "e5", "e6"}
+    again = streams.stream_rescan(events, sink, NONE, AS_OF, "2023-01-01 00:00:00").collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rescanned))
+    want = schedule.schedule_deliveries(events, base, NONE, AS_OF).new_rows
+    assert sorted(map(tuple, sink.new_rows().collect())) == sorted(map(tuple, want.collect()))
+
+
+TWINS = json.dumps(
+    [
+        {"name": "twin_cb", "url": 5},
+        {"name": "send_email", "url": "https://example.com/h", "signing_key_id": "k1"},
+        {"name": "twin_cb", "url": "https://example.com/h", "signing_key_id": "k1"},
+        {"name": "twin_cb", "url": "https://example.com/i", "signing_key_id": "k1"},
+    ]
+)
+ORDERS = [("one", [0]), ("many", [4, 1, 3, 0, 2])]
+
+
+def test_dedupe_keeps_the_valid_twin_and_no_replay(spark, make_events, tmp_path):
+    # Each of twelve events arrives three times; the replays come in other micro-batches.
+    events = make_events(*[CALLBACKS, TWINS, "[]", "7"] * 9, names=[f"e{k % 12}" for k in range(36)])
+    got = {}
+    for name, order in ORDERS:
+        stream = split(spark, events, str(tmp_path / name), order)
+        rows = streams.run_to_table(streams.stream_dedupe(stream, NONE), "dedupe", idle_batches=False).collect()
+        got[name] = sorted((r.event_id, r.label, r.pos, r.dead_letter) for r in rows)
+    assert got["one"] == got["many"]
+    assert [r[1:] for r in got["one"] if r[0] == "e1"] == [("send_email", 1, False), ("twin_cb", 2, False)]
+    assert [r[1:] for r in got["one"] if r[0] == "e0"] == [("1bad", 1, True), ("send_email", 0, False)]
+    assert len(got["one"]) == 12
+
+
+def test_counts_do_not_depend_on_the_split(spark, make_events, tmp_path):
+    events = make_events(*[CALLBACKS, "7", "[]"] * 10)
+    # Every seventh event is five hours older than the others that arrive with it.
+    late = F.when(F.col("id") % 7 == 0, F.col("created_at") - F.expr("INTERVAL 5 HOURS")).otherwise(F.col("created_at"))
+    events = events.withColumn("created_at", late)
+    want = sorted(map(tuple, streams.stream_metrics(events, NONE).groupBy("kind", "branch", "minute").count().collect()))
+    assert len({r[2] for r in want}) == 2 and sum(r[3] for r in want) == 30
+    for name, order in ORDERS:
+        sink = streams.metrics_sink(spark, str(tmp_path / name / "out"))
+        assert sink.totals().count() == 0
+        stream = split(spark, events, str(tmp_path / name / "in"), order)
+        streams.run_counts(streams.stream_metrics(stream, NONE), sink, str(tmp_path / name / "state")).awaitTermination()
+        assert sorted(map(tuple, sink.totals().collect())) == want
+        # A batch that runs again counts once, also behind a compaction.
+        parts = sink.folders.parts()
+        assert len(parts) == len(order)
+        sink.compact(parts[0].writer)
+        left = sink.folders.parts()
+        assert len(left) == min(2, len(order)) and left[-1].batch == parts[-1].batch
+        last = sink.folders.read([left[-1]], sink.schema)
+        sink.write(spark.createDataFrame(last.collect(), last.schema), left[-1].writer, left[-1].batch)
+        assert sorted(map(tuple, sink.totals().collect())) == want
+
+
+def test_alert_windows_do_not_depend_on_the_split(spark, tmp_path):
+    rows = [(k, "corrupted_rows", T0 + timedelta(seconds=17 * k * (-1) ** k)) for k in range(40)]
+    log = spark.createDataFrame(rows, "id long, alert string, at timestamp")
+    want = sorted(map(tuple, alerts.rate_alerts(log.select("alert", "at")).select("alert", "window_start", "window_end", "occurrences").collect()))
+    for name, order in ORDERS:
+        sink = streams.alerts_sink(spark, str(tmp_path / name / "out"))
+        stream = split(spark, log, str(tmp_path / name / "in"), order)
+        streams.run_counts(streams.stream_alerts(stream), sink, str(tmp_path / name / "state")).awaitTermination()
+        assert sorted(map(tuple, sink.totals().collect())) == want
 
 
 def message(**changes):

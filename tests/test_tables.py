@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from outboxlake import schemas
-from outboxlake.operators import metrics, reads, retention, schedule
+from outboxlake.operators import metrics, numbering, reads, retention, schedule
 from outboxlake.options import Options, OptionsError, Page, RetentionOptions
 from outboxlake.sources import tables
 from outboxlake.sources.snapshots import CommitConflict, SnapshotStore
@@ -73,8 +73,8 @@ def test_append_combines_copies(spark, make_deliveries):
     copies = [(1, "hot", "cb", 0, "managed", False, None)] * 50 + [(2, "e2", "cb", 0, "managed", False, None)]
     schema = "event_seq long, event_id string, callback_name string, ordinal int, completion_mode string, dead_letter boolean, last_error string"
     table = make_deliveries({"id": 4, "event_id": "e0"})
-    rows = schedule.append_deliveries(spark.createDataFrame(copies, schema), table, AS_OF, 10)
-    assert sorted((r.id, r.event_id) for r in rows.collect()) == [(5, "hot"), (15, "e2")]
+    rows = schedule.append_deliveries(spark.createDataFrame(copies, schema), table, AS_OF)
+    assert sorted((r.id, r.event_id) for r in rows.collect()) == [(5, "hot"), (6, "e2")]
     assert rows.columns == schemas.DELIVERY_COLUMNS
 
 
@@ -200,3 +200,15 @@ def test_options_bounds():
     assert len(error.value.problems) == 2
     with pytest.raises(OptionsError):
         RetentionOptions(batch_limit=10_001)
+
+
+@pytest.mark.parametrize("part_rows", [1, 7, 1000])
+def test_dense_ids_follow_the_order_without_gaps(spark, part_rows):
+    rows = [((k * 37) % 50 // 3, k % 4, f"r{k}") for k in range(120)]
+    df = spark.createDataFrame(rows, "seq long, ordinal long, name string").repartition(5)
+    top = 1 << 62
+    got = numbering.dense_ids(df, ["seq", "ordinal", "name"], top, part_rows=part_rows).collect()
+    in_order = [r.name for r in sorted(got, key=lambda r: r.id)]
+    assert in_order == [name for _, _, name in sorted(rows)]
+    assert [r.id for r in sorted(got, key=lambda r: r.id)] == [top + k + 1 for k in range(120)]
+    assert numbering.dense_ids(df.limit(0), ["seq", "ordinal"], 5, part_rows=part_rows).count() == 0
