@@ -1059,8 +1059,8 @@ def _(t: Tables):
 
 
 def _messages(t: Tables) -> DataFrame:
-    """Two messages per event: scheduled, then an attempt, a command for every 11th."""
-    return _stream(t).selectExpr(
+    """Two messages per event: scheduled, then an attempt, a command for every 11th. None in order."""
+    return _scattered(t).selectExpr(
         "event_id + 1 AS delivery_id",
         "event_id AS seq",
         "CAST(ts AS TIMESTAMP) AS at",
@@ -1087,18 +1087,22 @@ def _messages(t: Tables) -> DataFrame:
 
 _LIFECYCLE = """ SELECT delivery_id, cause, state, attempts, completion_cycles, dead_letter, last_error FROM (
  SELECT event_id + 1 AS delivery_id, event_id % 3 = 0 AS failed, (event_id + 1) % 2 = 0 AS ext, event_id % 11 AS k, ts FROM events) m,
- LATERAL (SELECT 'scheduled' AS cause, 'pending' AS state, 0 AS attempts, 0 AS completion_cycles, false AS dead_letter, CAST(NULL AS VARCHAR) AS last_error
-  UNION ALL SELECT 'attempt', CASE WHEN failed THEN 'pending' WHEN ext THEN 'external_pending' ELSE 'processed' END, 1, 0, false, CASE WHEN failed THEN 'returned 503' END
-  UNION ALL SELECT CASE WHEN k = 0 THEN 'complete' ELSE 'abandon' END, CASE WHEN k = 0 THEN 'processed' ELSE 'dead' END, 1, 0, k = 1,
+ LATERAL (SELECT 0 AS step, 'scheduled' AS cause, 'pending' AS state, 0 AS attempts, 0 AS completion_cycles, false AS dead_letter, CAST(NULL AS VARCHAR) AS last_error
+  UNION ALL SELECT 1, 'attempt', CASE WHEN failed THEN 'pending' WHEN ext THEN 'external_pending' ELSE 'processed' END, 1, 0, false, CASE WHEN failed THEN 'returned 503' END
+  UNION ALL SELECT 2, CASE WHEN k = 0 THEN 'complete' ELSE 'abandon' END, CASE WHEN k = 0 THEN 'processed' ELSE 'dead' END, 1, 0, k = 1,
    CASE WHEN k = 1 THEN 'abandoned by operator' WHEN failed THEN 'returned 503' END WHERE k IN (0, 1)
-  UNION ALL SELECT 'timer', 'dead', 1, 1, true, 'external_completion_cycles_exhausted'
-   WHERE ext AND NOT failed AND k NOT IN (0, 1) AND ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE) s"""
+  UNION ALL SELECT 3, 'timer', 'dead', 1, 1, true, 'external_completion_cycles_exhausted'
+   WHERE ext AND NOT failed AND k NOT IN (0, 1) AND epoch_ms(ts) + 3600000 < (SELECT max(epoch_ms(ts)) FROM events) - 60000) s
+ QUALIFY row_number() OVER (PARTITION BY delivery_id ORDER BY step DESC) = 1"""
 
 
 def _lifecycle(t: Tables) -> DataFrame:
+    """The state each delivery ends in."""
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     out = streams.run_to_table(lifecycle.stream_lifecycle(_messages(t)), "lifecycle")
-    return out.drop("at")
+    return lifecycle.current(out).select(
+        "delivery_id", "cause", "state", "attempts", "completion_cycles", "dead_letter", "last_error"
+    )
 
 
 @register("stream_lifecycle", _LIFECYCLE)

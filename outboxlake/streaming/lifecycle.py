@@ -1,9 +1,17 @@
 """Per-delivery state on a message stream, with completion timers.
 
-Messages of one delivery (scheduled, attempt, command) are folded into its state; each
-message emits the state after it. An external delivery that was sent registers an
-event-time timer; when it fires before a completion arrives, the delivery is reset or,
-out of cycles, dead-lettered.
+Messages of one delivery (scheduled, claim, attempt, command) are kept in the order of (at,
+seq) and folded from the delivery's first state on. One that comes late is put in its place
+and what follows is folded again, so the state after a set of messages does not depend on how
+they were dealt to micro-batches. Messages are never dropped for being late: only their clock
+rows, which move the watermark, can be.
+
+An external delivery that was sent is reset, or dead-lettered when out of cycles, once its
+timeout lies before the next message or before the watermark. Claims and retries heed a lease
+that is still held. ``keep`` after its last message a closed delivery is forgotten.
+
+Every message and every timer emits the state after it, with a revision that grows each time
+the past of a delivery changes; `current` picks the last word on each delivery.
 """
 
 from __future__ import annotations
@@ -13,14 +21,20 @@ from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from outboxlake.functions import rules
 from outboxlake.operators.commands import ABANDON, ABANDONED_TEXT, COMPLETE, RETRY
 from outboxlake.operators.dispatch import OK
 from outboxlake.operators.external import EXHAUSTED_TEXT
+from outboxlake.options import Options, RetentionOptions
 
-SCHEDULED, ATTEMPT, COMMAND = "scheduled", "attempt", "command"
+SCHEDULED, CLAIM, ATTEMPT, COMMAND = "scheduled", "claim", "attempt", "command"
+EXPIRED = "timer"
+#: First states handed over by a table have no message.
+TABLE = "table"
 
 # One row per message; fields that do not apply to its type are NULL.
 MESSAGES = T.StructType(
@@ -33,12 +47,15 @@ MESSAGES = T.StructType(
         T.StructField("max_attempts", T.IntegerType(), True),
         T.StructField("external_timeout_seconds", T.LongType(), True),
         T.StructField("max_cycles", T.IntegerType(), True),
+        T.StructField("lease_seconds", T.LongType(), True),
         T.StructField("result", T.StringType(), True),
         T.StructField("error", T.StringType(), True),
+        T.StructField("next_available_at", T.TimestampType(), True),
         T.StructField("action", T.StringType(), True),
     ]
 )
 
+# Times are epoch milliseconds.
 STATE = T.StructType(
     [
         T.StructField("mode", T.StringType(), True),
@@ -47,6 +64,8 @@ STATE = T.StructType(
         T.StructField("max_cycles", T.IntegerType(), True),
         T.StructField("attempts", T.IntegerType(), True),
         T.StructField("cycles", T.IntegerType(), True),
+        T.StructField("available", T.LongType(), True),
+        T.StructField("locked", T.LongType(), True),
         T.StructField("dispatched", T.LongType(), True),
         T.StructField("processed", T.LongType(), True),
         T.StructField("dead", T.BooleanType(), True),
@@ -54,16 +73,39 @@ STATE = T.StructType(
     ]
 )
 
+# Beside the state: what is known of the delivery, the timers set, and the last message's time.
+_HEAD = T.StructType(
+    [
+        T.StructField("known", T.BooleanType(), True),
+        T.StructField("first", STATE, True),
+        T.StructField("revision", T.LongType(), True),
+        T.StructField("timer", T.LongType(), True),
+        T.StructField("expired", T.IntegerType(), True),
+        T.StructField("last", T.LongType(), True),
+    ]
+)
+_PLACE = T.StructType([T.StructField("at", T.LongType(), False), T.StructField("seq", T.LongType(), False)])
+_BODY = T.StructType(
+    [T.StructField(f.name, T.LongType() if f.name == "next_available_at" else f.dataType, True) for f in MESSAGES.fields if f.name not in ("delivery_id", "seq", "at")]
+)
+
 OUTPUT = T.StructType(
     [
         T.StructField("delivery_id", T.LongType(), False),
         T.StructField("at", T.TimestampType(), False),
+        T.StructField("seq", T.LongType(), True),
+        T.StructField("revision", T.LongType(), False),
+        T.StructField("step", T.IntegerType(), False),
         T.StructField("cause", T.StringType(), False),
         T.StructField("state", T.StringType(), False),
         T.StructField("attempts", T.IntegerType(), False),
         T.StructField("completion_cycles", T.IntegerType(), False),
         T.StructField("dead_letter", T.BooleanType(), False),
         T.StructField("last_error", T.StringType(), True),
+        T.StructField("available_at", T.TimestampType(), True),
+        T.StructField("locked_until", T.TimestampType(), True),
+        T.StructField("dispatched_at", T.TimestampType(), True),
+        T.StructField("processed_at", T.TimestampType(), True),
     ]
 )
 
@@ -74,13 +116,14 @@ EMPTY = {
     "max_cycles": 20,
     "attempts": 0,
     "cycles": 0,
+    "available": None,
+    "locked": None,
     "dispatched": None,
     "processed": None,
     "dead": False,
     "error": None,
 }
 FIELDS = STATE.fieldNames()
-EXPIRED = "timer"
 
 
 def state_name(s: dict) -> str:
@@ -91,21 +134,39 @@ def state_name(s: dict) -> str:
     return "pending" if s["dispatched"] is None else "external_pending"
 
 
-def fold(s: dict, m: dict, at: int) -> None:
-    """Applies one message to a state; ``at`` is epoch milliseconds."""
+def _held(s: dict, at: int) -> bool:
+    return s["locked"] is not None and s["locked"] >= at
+
+
+def _claim(s: dict, m: dict, at: int, lease: int) -> bool:
+    if _held(s, at) or s["dispatched"] is not None or s["dead"]:
+        return False
+    seconds = m["lease_seconds"]
+    s.update(attempts=s["attempts"] + 1, locked=at + 1000 * (lease if seconds is None else seconds))
+    return True
+
+
+def fold(s: dict, m: dict, at: int, lease: int = 40) -> None:
+    """Applies one message to a state; ``at`` is epoch milliseconds, ``lease`` the seconds of a
+    claim that names none."""
     if m["type"] == SCHEDULED:
         s["mode"] = m["mode"] or "managed"
+        s["available"] = at
         for field, source in (
             ("max_attempts", "max_attempts"),
             ("timeout", "external_timeout_seconds"),
             ("max_cycles", "max_cycles"),
         ):
-            if m[source] is not None and not pd.isna(m[source]):
+            if m[source] is not None:
                 s[field] = int(m[source])
+    elif m["type"] == CLAIM:
+        _claim(s, m, at, lease)
     elif m["type"] == ATTEMPT:
-        if s["dead"] or s["dispatched"] is not None:
-            return
-        s["attempts"] += 1
+        # The outcome of a claim, or claim and outcome in one.
+        if s["locked"] is None or s["dispatched"] is not None or s["dead"]:
+            if not _claim(s, m, at, lease):
+                return
+        s["locked"] = None
         if m["result"] == OK:
             s["dispatched"] = at
             if s["mode"] == "managed":
@@ -113,101 +174,234 @@ def fold(s: dict, m: dict, at: int) -> None:
         else:
             s["error"] = m["error"]
             s["dead"] = s["attempts"] >= s["max_attempts"]
+            if m["next_available_at"] is not None:
+                s["available"] = m["next_available_at"]
     elif m["action"] == RETRY:
-        s.update(
-            attempts=0, cycles=0, dispatched=None, processed=None, dead=False, error=None
-        )
+        if not _held(s, at):
+            s.update(attempts=0, cycles=0, available=at, locked=None, dispatched=None, processed=None, dead=False, error=None)
     elif m["action"] == COMPLETE:
         s["processed"] = at if s["processed"] is None else s["processed"]
     elif m["action"] == ABANDON:
         s.update(dead=True, error=ABANDONED_TEXT)
 
 
-def expire(s: dict) -> None:
-    s["cycles"] += 1
+def expire(s: dict, at: int | None = None) -> None:
+    s.update(cycles=s["cycles"] + 1, locked=None)
     if s["cycles"] >= s["max_cycles"]:
         s.update(dead=True, error=EXHAUSTED_TEXT)
     else:
-        s.update(dispatched=None, attempts=0, error=None)
+        s.update(dispatched=None, attempts=0, error=None, available=at)
 
 
-def _deadline(s: dict) -> int | None:
+def deadline(s: dict) -> int | None:
+    """First millisecond at which the completion is overdue."""
     waiting = s["mode"] == "external" and state_name(s) == "external_pending"
-    return s["dispatched"] + s["timeout"] * 1000 if waiting and s["timeout"] else None
+    return s["dispatched"] + s["timeout"] * 1000 + 1 if waiting and s["timeout"] else None
+
+
+def replay(first: dict | None, log: list[tuple[int, int, dict]], clock: int, lease: int) -> list[tuple]:
+    """(at, seq, cause, state) after each message of a sorted log and each timeout up to ``clock``.
+
+    Messages before a delivery is scheduled change nothing, unless its first state is given.
+    """
+    s, out = dict(first) if first is not None else None, []
+
+    def run_out(until: int) -> None:
+        while s is not None and (due := deadline(s)) is not None and due <= until:
+            expire(s, due)
+            out.append((due, None, EXPIRED, dict(s)))
+
+    for at, seq, m in log:
+        run_out(at)
+        if s is None and m["type"] == SCHEDULED:
+            s = dict(EMPTY)
+        if s is not None:
+            fold(s, m, at, lease)
+            out.append((at, seq, m["action"] or m["type"], dict(s)))
+    run_out(clock)
+    return out
 
 
-def _row(key: int, s: dict, at: int, cause: str) -> dict:
-    return {
-        "delivery_id": key,
-        "at": datetime.fromtimestamp(at / 1000, tz=timezone.utc),
-        "cause": cause,
-        "state": state_name(s),
-        "attempts": s["attempts"],
-        "completion_cycles": s["cycles"],
-        "dead_letter": s["dead"],
-        "last_error": s["error"],
-    }
+def _when(ms: int | None) -> datetime | None:
+    return None if ms is None else datetime.fromtimestamp(ms / 1000, tz=timezone.utc)
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=OUTPUT.fieldNames())
+def _millis(value) -> int | None:
+    return None if value is None or pd.isna(value) else pd.Timestamp(value).value // 1_000_000
+
+
+def _plain(value):
+    """A pandas cell as a Python value; missing is None. Whole numbers beside missing ones are floats there."""
+    if value is None or (not isinstance(value, str) and pd.isna(value)):
+        return None
+    value = value.item() if hasattr(value, "item") else value
+    return int(value) if isinstance(value, float) else value
 
 
 class Lifecycle(StatefulProcessor):
+    def __init__(self, lease: int, keep: int) -> None:
+        self.lease, self.keep = lease, keep
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("delivery", STATE)
+        self.head = handle.getValueState("head", _HEAD)
+        self.log = handle.getMapState("log", _PLACE, _BODY)
 
     def _load(self) -> dict:
-        if not self.state.exists():
-            return dict(EMPTY)
-        return dict(zip(FIELDS, self.state.get()))
-
-    def _save(self, s: dict, old_deadline: int | None) -> None:
-        self.state.update(tuple(s[f] for f in FIELDS))
-        deadline = _deadline(s)
-        if deadline != old_deadline:
-            if old_deadline is not None:
-                self.handle.deleteTimer(old_deadline)
-            if deadline is not None:
-                self.handle.registerTimer(deadline)
+        names = _HEAD.fieldNames()
+        values = self.head.get() if self.head.exists() else (False, None, 0, None, 0, None)
+        h = dict(zip(names, values, strict=True))
+        h["first"] = dict(zip(FIELDS, h["first"], strict=True)) if h["first"] is not None else None
+        return h
+
+    def _messages(self) -> list[tuple[int, int, dict]]:
+        names = _BODY.fieldNames()
+        return sorted(((k[0], k[1], dict(zip(names, v, strict=True))) for k, v in self.log.iterator()), key=lambda m: m[:2])
+
+    def _settle(self, key: int, h: dict, changed: int, clock: int) -> pd.DataFrame:
+        """Folds everything, emits what stands at or behind ``changed``, sets the next timer."""
+        steps = replay(h["first"], self._messages(), clock, self.lease)
+        state = steps[-1][3] if steps else h["first"]
+        due = deadline(state) if state is not None else None
+        if due is None and state is not None and state_name(state) in ("dead", "processed") and h["last"] is not None:
+            due = h["last"] + self.keep
+        if due != h["timer"]:
+            if h["timer"] is not None and h["timer"] > clock:
+                self.handle.deleteTimer(h["timer"])
+            if due is not None:
+                self.handle.registerTimer(due)
+        h.update(timer=due, expired=sum(c == EXPIRED for _, _, c, _ in steps))
+        first = tuple(h["first"][f] for f in FIELDS) if h["first"] is not None else None
+        self.head.update((h["known"], first, h["revision"], h["timer"], h["expired"], h["last"]))
+        rows = [_row(key, k, h["revision"], *step) for k, step in enumerate(steps) if step[0] >= changed]
+        return pd.DataFrame(rows, columns=OUTPUT.fieldNames())
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = {n: _plain(v) for n, v in initialState.iloc[0].to_dict().items()}
+        first = {**EMPTY, "mode": row["completion_mode"], "attempts": row["attempts"], "cycles": row["completion_cycles"], "dead": row["dead_letter"], "error": row["last_error"]}
+        for field, source in (("max_attempts", "max_attempts"), ("timeout", "external_timeout_seconds"), ("max_cycles", "max_cycles")):
+            if row[source] is not None:
+                first[field] = int(row[source])
+        times = {"available": "available_at", "locked": "locked_until", "dispatched": "dispatched_at", "processed": "processed_at"}
+        first.update({f: _millis(row[c]) for f, c in times.items()})
+        h = self._load()
+        h.update(known=True, first=first, revision=0, last=max(v for v in (first["available"], first["dispatched"], first["processed"], 0) if v is not None))
+        # Nothing can be emitted here: a timeout that is over fires as a timer.
+        self._settle(key[0], h, 0, 0)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        s = self._load()
-        before = _deadline(s)
-        # The order holds across Arrow chunks: one delivery's messages of a micro-batch are sorted as a whole.
-        messages = pd.concat(list(rows), ignore_index=True).sort_values(["at", "seq"])
-        out = []
-        for m in messages.to_dict("records"):
-            at = int(pd.Timestamp(m["at"]).timestamp() * 1000)
-            fold(s, m, at)
-            out.append(_row(key[0], s, at, m["action"] or m["type"]))
-        yield _frame(out)
-        self._save(s, before)
+        h, clock = self._load(), timerValues.getCurrentWatermarkInMs()
+        earliest = None
+        for chunk in rows:
+            # Clock rows carry no message.
+            for m in chunk[chunk["type"].notna()].to_dict("records"):
+                place = (_millis(m["at"]), int(m["seq"]))
+                if self.log.containsKey(place):
+                    continue
+                m["next_available_at"] = _millis(m["next_available_at"])
+                self.log.updateValue(place, tuple(_plain(m[n]) for n in _BODY.fieldNames()))
+                earliest = place[0] if earliest is None else min(earliest, place[0])
+                h["last"] = place[0] if h["last"] is None else max(h["last"], place[0])
+        if earliest is None:
+            yield pd.DataFrame([], columns=OUTPUT.fieldNames())
+            return
+        h["revision"] += 1
+        yield self._settle(key[0], h, earliest, clock)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        s = self._load()
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        if _deadline(s) != at:
-            yield _frame([])
+        h, at = self._load(), expiredTimerInfo.getExpiryTimeInMs()
+        if h["timer"] != at:
+            yield pd.DataFrame([], columns=OUTPUT.fieldNames())
+            return
+        steps = replay(h["first"], self._messages(), at, self.lease)
+        state = steps[-1][3] if steps else h["first"]
+        if steps and steps[-1][2] == EXPIRED and steps[-1][0] == at or sum(s[2] == EXPIRED for s in steps) > h["expired"]:
+            h["revision"] += 1
+            h["last"] = max(h["last"] or at, at)
+            yield self._settle(key[0], h, at, max(at, timerValues.getCurrentWatermarkInMs()))
             return
-        expire(s)
-        self.state.update(tuple(s[f] for f in FIELDS))
-        yield _frame([_row(key[0], s, at, EXPIRED)])
+        if state is not None and state_name(state) in ("dead", "processed"):
+            self.head.clear()
+            self.log.clear()
+        yield pd.DataFrame([], columns=OUTPUT.fieldNames())
 
     def close(self) -> None:
         pass
 
 
-def stream_lifecycle(messages: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """State changes of every delivery. Needs the RocksDB state store (see session)."""
+def _row(key: int, step: int, revision: int, at: int, seq: int | None, cause: str, s: dict) -> tuple:
+    times = (_when(s[f]) for f in ("available", "locked", "dispatched", "processed"))
+    return (key, _when(at), seq, revision, step, cause, state_name(s), s["attempts"], s["cycles"], s["dead"], s["error"], *times)
+
+
+def start_rows(events: DataFrame, deliveries: DataFrame, opts: Options) -> DataFrame:
+    """Deliveries of a table as first states of the stream, with the limits of their callbacks.
+
+    Limits come from the first array element of that name, as everywhere.
+    """
+
+    def as_text(field: str) -> F.Column:
+        return F.try_variant_get(F.col("_element")[field], "$", "string")
+
+    named = deliveries.join(events.select("event_id", "callbacks"), "event_id", "inner").withColumn(
+        "_element",
+        F.get(
+            F.filter(
+                rules.callback_array(F.col("callbacks")),
+                lambda e: F.try_variant_get(e["name"], "$", "string") == F.col("callback_name"),
+            ),
+            F.lit(0),
+        ),
+    )
+    return named.select(
+        F.col("id").alias("delivery_id"),
+        "completion_mode",
+        "attempts",
+        "last_error",
+        *[F.col(c).cast("timestamp").alias(c) for c in ("available_at", "locked_until", "dispatched_at", "processed_at")],
+        "completion_cycles",
+        "dead_letter",
+        F.coalesce(as_text("max_attempts").try_cast("int"), F.lit(opts.max_attempts)).alias("max_attempts"),
+        as_text("external_completion_timeout_seconds").try_cast("bigint").alias("external_timeout_seconds"),
+        F.coalesce(as_text("max_completion_cycles").try_cast("int"), F.lit(opts.max_completion_cycles)).alias("max_cycles"),
+    )
+
+
+def stream_lifecycle(
+    messages: DataFrame,
+    delay: str = "1 minute",
+    start: DataFrame | None = None,
+    opts: Options = Options(),
+    retention: RetentionOptions = RetentionOptions(),
+) -> DataFrame:
+    """State changes of every delivery. Needs the RocksDB state store (see session).
+
+    ``start`` holds first states (see `start_rows`). The watermark, ``delay`` behind the
+    latest message, is the clock of timeouts; a message that is later still counts.
+    """
+    missing = [f for f in MESSAGES.fields if f.name not in messages.columns]
+    full = messages.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}).select(*MESSAGES.fieldNames())
+    # A row without an event time is not dropped by a watermark; the clock row beside it may be.
+    message = F.struct(*[F.col(n) for n in MESSAGES.fieldNames()], F.lit(None).cast("timestamp").alias("clock"))
+    blank = [F.col(n) for n in MESSAGES.fieldNames()[:3]]
+    blank += [F.lit(None).cast(f.dataType).alias(f.name) for f in MESSAGES.fields[3:]]
+    tick = F.struct(*blank, F.col("at").alias("clock"))
+    both = full.select(F.explode(F.array(message, tick)).alias("r")).select("r.*")
+    lease = opts.timeout_seconds + opts.lock_buffer_seconds
     return (
-        messages.withWatermark("at", delay)
+        both.withWatermark("clock", delay)
         .groupBy("delivery_id")
         .transformWithStateInPandas(
-            statefulProcessor=Lifecycle(),
+            statefulProcessor=Lifecycle(lease, retention.longest_seconds * 1000),
             outputStructType=OUTPUT,
             outputMode="append",
             timeMode="eventtime",
+            initialState=start.groupBy("delivery_id") if start is not None else None,
         )
     )
+
+
+def current(changes: DataFrame) -> DataFrame:
+    """The last word on each delivery: of the highest revision, its last step."""
+    last = F.max_by(F.struct(*[c for c in OUTPUT.fieldNames() if c != "delivery_id"]), F.struct("revision", "step"))
+    return changes.groupBy("delivery_id").agg(last.alias("r")).select("delivery_id", "r.*")

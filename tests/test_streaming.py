@@ -1,10 +1,14 @@
 import json
-from datetime import timedelta
+import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from outboxlake.operators import alerts, schedule
-from outboxlake.options import Options
+from outboxlake import schemas
+from outboxlake.operators import alerts, dispatch, external, schedule
+from outboxlake.operators.commands import apply_commands
+from outboxlake.operators.merge import merge_deliveries
+from outboxlake.options import Options, RetentionOptions
 from outboxlake.streaming import lifecycle
 from outboxlake.streaming import queries as streams
 
@@ -151,8 +155,8 @@ def test_alert_windows_do_not_depend_on_the_split(spark, tmp_path):
 
 
 def message(**changes):
-    base = {"mode": None, "max_attempts": None, "external_timeout_seconds": None, "max_cycles": None}
-    return {**base, "type": None, "result": None, "error": None, "action": None, **changes}
+    base = dict.fromkeys(lifecycle.MESSAGES.fieldNames()[3:])
+    return {**base, **changes}
 
 
 def test_lifecycle_fold():
@@ -175,3 +179,163 @@ def test_lifecycle_fold():
     assert lifecycle.state_name(s) == "processed"
     lifecycle.fold(s, message(type="command", action="abandon"), 6)
     assert lifecycle.state_name(s) == "dead"
+
+
+def test_lifecycle_leases():
+    s = {**lifecycle.EMPTY}
+    lifecycle.fold(s, message(type="claim", lease_seconds=10), 0)
+    assert (s["attempts"], s["locked"]) == (1, 10_000)
+    # A lease that is held stops claims and retries, its end does not stop its outcome.
+    lifecycle.fold(s, message(type="claim", lease_seconds=10), 10_000)
+    lifecycle.fold(s, message(type="command", action="retry"), 10_000)
+    assert (s["attempts"], s["locked"]) == (1, 10_000)
+    lifecycle.fold(s, message(type="claim", lease_seconds=10), 10_001)
+    assert (s["attempts"], s["locked"]) == (2, 20_001)
+    lifecycle.fold(s, message(type="attempt", result="timeout", error="e", next_available_at=99), 30_000)
+    assert (s["attempts"], s["locked"], s["error"], s["available"]) == (2, None, "e", 99)
+    lifecycle.fold(s, message(type="attempt", result="ok"), 40_000)
+    assert (s["attempts"], s["processed"]) == (3, 40_000)
+    lifecycle.fold(s, message(type="attempt", result="ok"), 50_000)
+    assert (s["attempts"], s["processed"]) == (3, 40_000)
+
+
+def test_replay_runs_timers_between_messages():
+    log = [
+        (0, 1, message(type="scheduled", mode="external", external_timeout_seconds=60, max_cycles=2)),
+        (1_000, 2, message(type="attempt", result="ok")),
+        (90_000, 3, message(type="attempt", result="ok")),
+    ]
+    steps = lifecycle.replay(None, log, 150_000, 40)
+    assert [(s[0], s[2]) for s in steps] == [(0, "scheduled"), (1_000, "attempt"), (61_001, "timer"), (90_000, "attempt")]
+    # The second timeout is over at 150 s sharp and overdue a millisecond later.
+    assert lifecycle.replay(None, log, 150_001, 40)[-1][2:][1]["dead"]
+    # A completion that comes late undoes the timer.
+    late = (61_000, 4, message(type="command", action="complete"))
+    steps = lifecycle.replay(None, sorted([*log, late], key=lambda m: m[:2]), 150_001, 40)
+    assert [s[2] for s in steps] == ["scheduled", "attempt", "complete", "attempt"]
+    assert lifecycle.replay(None, log[1:], 150_000, 40) == []
+
+
+def _stream_messages(spark, rows):
+    fields = ["id", *lifecycle.MESSAGES.fieldNames()]
+    schema = "id long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lifecycle.MESSAGES.fields)
+    return spark.createDataFrame([tuple(r.get(f) for f in fields) for r in rows], schema)
+
+
+def _ends(spark, rows, path, order, **options):
+    stream = split(spark, _stream_messages(spark, rows), path, order)
+    changes = streams.run_to_table(lifecycle.stream_lifecycle(stream, **options), "lifecycle")
+    ends = lifecycle.current(changes).drop("revision", "step")
+    return {r.delivery_id: tuple(r) for r in ends.collect()}
+
+
+def test_lifecycle_does_not_depend_on_the_split(spark, tmp_path):
+    rng, rows = random.Random(5), []
+    for key in range(1, 25):
+        at = T0 + timedelta(minutes=rng.randrange(2000))
+        mode = {"mode": rng.choice(["managed", "external"]), "max_attempts": 3, "external_timeout_seconds": 3600, "max_cycles": 2}
+        rows.append({"delivery_id": key, "at": at, "type": "scheduled", **mode})
+        for _ in range(rng.randrange(7)):
+            at += timedelta(minutes=rng.choice([0, 1, 30, 59, 60, 61, 300]))
+            kind = rng.choice(["claim", "attempt", "attempt", "command"])
+            extra = {"claim": {"lease_seconds": 90}, "attempt": {"result": rng.choice(["ok", "transient"]), "error": "e"}}
+            action = {"action": rng.choice(["retry", "complete", "abandon"])}
+            rows.append({"delivery_id": key, "at": at, "type": kind, **extra.get(kind, action)})
+    rows.append({"delivery_id": 99, "at": T0 + timedelta(days=6), "type": "scheduled"})
+    for k, row in enumerate(rows):
+        row["seq"] = k
+    rng.shuffle(rows)
+    for k, row in enumerate(rows):
+        row["id"] = k
+    got = [_ends(spark, rows, str(tmp_path / name), order) for name, order in ORDERS]
+    assert got[0] == got[1] and len(got[0]) == 25
+    # Each end is what a replay of all messages gives at the last watermark.
+    clock = int((T0 + timedelta(days=6, minutes=-1) - datetime(1970, 1, 1)).total_seconds() * 1000)
+    for key in range(1, 25):
+        log = [(int((r["at"] - datetime(1970, 1, 1)).total_seconds() * 1000), r["seq"], message(**r)) for r in rows if r["delivery_id"] == key]
+        at, seq, cause, state = lifecycle.replay(None, sorted(log, key=lambda m: m[:2]), clock, 40)[-1]
+        assert got[0][key][2:9] == (seq, cause, lifecycle.state_name(state), state["attempts"], state["cycles"], state["dead"], state["error"])
+
+
+def test_lifecycle_from_a_table_ends_as_the_batch_operators(spark, make_events, make_deliveries, tmp_path):
+    callbacks = json.dumps(
+        [
+            {"name": "send_email", "url": "https://example.com/h", "signing_key_id": "k1", "max_attempts": 2},
+            {"name": "audit_log", "url": "https://example.com/a", "signing_key_id": "k1", "mode": "external",
+             "external_completion_timeout_seconds": 600, "max_completion_cycles": 2},
+        ]
+    )
+    events = make_events(*[callbacks] * 8)
+    rows = []
+    for k in range(16):
+        waits = k % 2 == 1
+        row = {"id": k + 1, "event_id": f"e{k // 2 + 1}", "callback_name": "audit_log" if waits else "send_email"}
+        row.update(completion_mode="external" if waits else "managed", attempts=k % 3 % 2, completion_cycles=k % 4 // 3)
+        if k in (4, 5):
+            row["locked_until"] = AS_OF + timedelta(days=30)
+        if k in (6, 7, 9):
+            row.update(dispatched_at=T0, processed_at=T0 if k == 6 else None)
+        rows.append(row)
+    table = make_deliveries(*rows)
+    first, second, third = AS_OF, AS_OF + timedelta(minutes=5), AS_OF + timedelta(minutes=16)
+    outcomes = spark.createDataFrame(
+        [(k + 1, first, 200 if k % 3 else 503, None, None, None, 0.1) for k in range(12)], schemas.ATTEMPTS
+    )
+    commands = spark.createDataFrame(
+        [(k, k, action, second) for k, action in ((1, "retry"), (2, "complete"), (3, "abandon"), (5, "retry"), (14, "abandon"))], schemas.COMMANDS
+    )
+    ready = dispatch.revalidate_due(dispatch.due_deliveries(events, table, NONE, first), NONE)[0]
+    done = dispatch.apply_attempts(ready, outcomes, NONE, first)
+    answered = {r.delivery_id: r for r in done.log.collect()}
+    # Only due rows were sent; the others have no outcome to tell.
+    state = merge_deliveries(table, done.changed.filter(F.col("id").isin(list(answered))))
+    state = merge_deliveries(state, apply_commands(state, commands, second).changed)
+    state = merge_deliveries(state, external.sweep_external(events, state, NONE, third).changed)
+    fields = ["attempts", "completion_cycles", "dead_letter", "last_error", "available_at", "locked_until", "dispatched_at", "processed_at"]
+    want = {r.id: tuple(r[f] for f in fields) for r in state.collect()}
+    messages = [
+        {"delivery_id": k, "at": first, "type": "attempt", "result": r.result, "error": r.error, "next_available_at": r.next_available_at}
+        for k, r in answered.items()
+    ]
+    messages += [{"delivery_id": r.delivery_id, "at": r.issued_at, "type": "command", "action": r.action} for r in commands.collect()]
+    # The clock: what is overdue at the sweep, but not by more than a millisecond's doubt.
+    messages.append({"delivery_id": 99, "at": third + timedelta(minutes=1), "type": "scheduled"})
+    for k, m in enumerate(messages):
+        m.update(seq=k, id=(k * 7) % len(messages))
+    start = lifecycle.start_rows(events, table, NONE)
+    for name, order in ORDERS:
+        stream = split(spark, _stream_messages(spark, messages), str(tmp_path / name), order)
+        changes = streams.run_to_table(lifecycle.stream_lifecycle(stream, start=start, opts=NONE), "lifecycle")
+        ends = {r.delivery_id: r for r in lifecycle.current(changes).collect()}
+        for key, row in want.items():
+            if key not in ends:
+                # Nothing happened to it.
+                assert row == tuple(table.where(f"id = {key}").select(*fields).collect()[0]), key
+                continue
+            got = tuple(ends[key][f] for f in fields)
+            swept = ends[key].cause == "timer" and not ends[key].dead_letter
+            # A timer resets at its deadline, a sweep when it runs.
+            assert (got[:4] + got[5:] if swept else got) == (row[:4] + row[5:] if swept else row), key
+
+
+def test_closed_deliveries_are_forgotten(spark, tmp_path):
+    def at(days):
+        return T0 + timedelta(days=days)
+
+    rows = [
+        {"delivery_id": 1, "at": at(0), "type": "scheduled"},
+        {"delivery_id": 1, "at": at(0.1), "type": "attempt", "result": "ok"},
+        {"delivery_id": 2, "at": at(0.1), "type": "scheduled"},
+        {"delivery_id": 3, "at": at(3), "type": "scheduled"},
+        {"delivery_id": 3, "at": at(4), "type": "command", "action": "abandon"},
+        {"delivery_id": 4, "at": at(4), "type": "scheduled"},
+        {"delivery_id": 1, "at": at(5), "type": "command", "action": "abandon"},
+        {"delivery_id": 2, "at": at(5), "type": "command", "action": "abandon"},
+    ]
+    # Four micro-batches: rows 0-2, then 3-4, then 5 (in which the timers run), then 6-7.
+    for k, row in enumerate(rows):
+        row.update(seq=k, id=[0, 4, 8, 1, 5, 2, 3, 7][k])
+    short = RetentionOptions(processed_days=1, dead_letter_days=1)
+    ends = _ends(spark, rows, str(tmp_path / "in"), [0, 1, 2, 3], retention=short)
+    # The first was done and forgotten, the second was open all the time.
+    assert ends[1][3:5] == ("attempt", "processed") and ends[2][3:5] == ("abandon", "dead")
