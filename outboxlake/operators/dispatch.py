@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import queue
+import threading
+import time
+from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +18,7 @@ from outboxlake.functions import variant as vj
 from outboxlake.functions.text import cut_utf8
 from outboxlake.operators.merge import changed_row
 from outboxlake.options import FALLBACK_BACKOFF_SECONDS, Options
-from outboxlake.schemas import DELIVERY_COLUMNS
+from outboxlake.schemas import ATTEMPTS, DELIVERY_COLUMNS
 
 EVENT_PART = (
     "kind",
@@ -29,6 +35,8 @@ OK = "ok"
 TRANSIENT = "transient"
 TIMEOUT = "timeout"
 TIMEOUT_TEXT = "callback timeout"
+#: Kind of failure of a request that was never sent; its error text stands as it is.
+REFUSED = "refused"
 
 # A Retry-After beyond this many seconds (about 2800 years) leaves the timestamp range.
 MAX_RETRY_AFTER = 90_000_000_000
@@ -367,7 +375,98 @@ def apply_failure(failed: DataFrame) -> DataFrame:
     return failed.select(*changed_row("delivery", failure_changes(empty)))
 
 
+def all_outcomes(signed: DataFrame, answers: DataFrame, sent_at: times.AsOf) -> DataFrame:
+    """One table of outcomes for signed requests: the answers to those that were sent, and a
+    failed attempt for each that could not be (``send_error``), so that it backs off too."""
+    sent = signed.filter(F.col("send_error").isNull()).select("delivery_id")
+    answered = answers.select(*ATTEMPTS.fieldNames()).join(sent, "delivery_id", "left_semi")
+    kind = answers.schema["started_at"].dataType.simpleString()
+    refused = signed.filter(F.col("send_error").isNotNull()).select(
+        "delivery_id",
+        times.instant(sent_at, kind).alias("started_at"),
+        F.lit(None).cast("int").alias("status_code"),
+        F.lit(REFUSED).alias("failure_kind"),
+        F.col("send_error").alias("error_detail"),
+        F.lit(None).cast("string").alias("retry_after"),
+        F.lit(0.0).alias("duration_seconds"),
+    )
+    return answered.unionByName(refused)
+
+
 def with_delivery_fn(requests: DataFrame, deliver, schema, opts: Options) -> DataFrame:
     """Runs a user function over request batches (pandas in, outcome rows out) with
     bounded parallelism."""
     return requests.repartition(opts.dispatch_concurrency).mapInPandas(deliver, schema)
+
+
+def deliver_each(requests: DataFrame, send, opts: Options, tasks: int = 4) -> DataFrame:
+    """Calls ``send`` on every request (a dict) and returns attempt rows as they complete.
+
+    ``send`` returns a dict with ``status_code`` and, if it likes, ``retry_after``. At most
+    ``dispatch_concurrency`` calls run at a time over all tasks; a request whose column
+    ``timeout_seconds`` is over counts as timed out, whatever becomes of its call. A call
+    that raises, or returns anything else, is a failed connection. Every request gets one row.
+    """
+    tasks = max(1, min(tasks, opts.dispatch_concurrency))
+    window = opts.dispatch_concurrency // tasks
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        calls = Calls(send, window, opts.timeout_seconds)
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                yield from calls.start(row)
+        yield from calls.rest()
+
+    return requests.repartition(tasks).mapInPandas(run, ATTEMPTS)
+
+
+class Calls:
+    """A window of calls in flight, each in a thread of its own."""
+
+    def __init__(self, send, window: int, timeout: float) -> None:
+        self.send, self.window, self.timeout = send, window, timeout
+        self.done: queue.Queue = queue.Queue()
+        self.open: dict[int, tuple[int, datetime, float, float]] = {}
+        self.number = 0
+
+    def start(self, row: dict) -> Iterator[pd.DataFrame]:
+        """Starts a call once there is room for it; gives the outcomes met on the way."""
+        while len(self.open) >= self.window:
+            yield from self._next()
+        self.number += 1
+        number, now = self.number, time.monotonic()
+        limit = row.get("timeout_seconds")
+        limit = self.timeout if limit is None or pd.isna(limit) else float(limit)
+        self.open[number] = (row["delivery_id"], datetime.now(timezone.utc), now, now + limit)
+        threading.Thread(target=self._call, args=(number, row), daemon=True).start()
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        while self.open:
+            yield from self._next()
+
+    def _call(self, number: int, row: dict) -> None:
+        try:
+            answer = self.send(row)
+            status, after = int(answer["status_code"]), answer.get("retry_after")
+            self.done.put((number, status, None if after is None else str(after), None))
+        except Exception as error:
+            self.done.put((number, None, None, f"{type(error).__name__}: {error}"))
+
+    def _next(self) -> Iterator[pd.DataFrame]:
+        first = min(deadline for *_, deadline in self.open.values())
+        try:
+            number, status, after, error = self.done.get(timeout=max(0.0, first - time.monotonic()))
+        except queue.Empty:
+            now = time.monotonic()
+            for number in [n for n, call in self.open.items() if call[3] <= now]:
+                yield self._row(number, None, TIMEOUT, None, None)
+            return
+        # The answer to a call that was given up comes too late.
+        if number in self.open:
+            yield self._row(number, status, None if error is None else "connection", error, after)
+
+    def _row(self, number: int, status, kind, error, after) -> pd.DataFrame:
+        delivery_id, started, begun, _ = self.open.pop(number)
+        row = (delivery_id, started, status, kind, error, after, time.monotonic() - begun)
+        out = pd.DataFrame([row], columns=ATTEMPTS.fieldNames())
+        return out.astype({"status_code": "Int32"})

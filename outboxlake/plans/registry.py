@@ -557,7 +557,42 @@ def _(t: Tables):
     return merge_deliveries(t.deliveries, t.dispatched().changed)
 
 
-@register("with_delivery_fn")
+_REFUSED = f"""refused AS (SELECT c.*, c.attempts + 1 AS attempt FROM {_CHECKED} c
+ WHERE spec_error IS NULL AND key_id <> 'k1')"""
+
+
+def _refused(t: Tables) -> DataFrame:
+    """The log rows of due requests whose signing key is not known."""
+    outcomes = dispatch.all_outcomes(t.signed(), t.attempts, AS_OF)
+    log = dispatch.apply_attempts(t.ready(), outcomes, WHOLE, AS_OF).log
+    return log.filter(F.col("signing_key_id") != "k1")
+
+
+@register(
+    "refused_attempts",
+    W + ", " + _REFUSED + f""" SELECT id AS delivery_id, callback_name, key_id AS signing_key_id, attempt, 'transient' AS result,
+ 'signing_key_id ''' || key_id || ''' not registered' AS error,
+ {NOW} + to_seconds(coalesce(backoff[greatest(attempt, 1)], backoff[-1], 60)) AS next_available_at, attempt >= max_attempts AS dead_letter FROM refused""",
+)
+def _(t: Tables):
+    return _refused(t).select(
+        "delivery_id", "callback_name", "signing_key_id", "attempt", "result", "error", "next_available_at", "dead_letter"
+    )
+
+
+@register(
+    "alert_signing_key",
+    W + ", " + _REFUSED + f""" SELECT 'signing_key_drift' AS alert, {NOW} - to_minutes(k) AS window_start,
+ {NOW} - to_minutes(k) + INTERVAL 5 MINUTE AS window_end, count(*) AS occurrences FROM refused CROSS JOIN range(5) o(k) GROUP BY ALL""",
+)
+def _(t: Tables):
+    return alerts.rate_alerts(alerts.occurrences(_refused(t), alerts.KEY_DRIFT, F.col("started_at")))
+
+
+@register(
+    "with_delivery_fn",
+    W + ", " + _REQUESTS + " SELECT delivery_id, CAST(200 + delivery_id % 2 * 303 AS INTEGER) AS status_code, CAST(NULL AS VARCHAR) AS failure_kind FROM requests",
+)
 def _(t: Tables):
     schema = "delivery_id bigint, status_code int, failure_kind string"
 

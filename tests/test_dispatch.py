@@ -1,4 +1,6 @@
 import json
+import threading
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -283,3 +285,43 @@ def test_schedule_is_idempotent(make_events, make_deliveries):
     assert schedule.recover_cursor(events, empty).head()[0] == 0
     only = schedule.new_events(events, 1).collect()
     assert [r.id for r in only] == [2]
+
+
+def test_deliver_each_bounds_calls_and_answers_every_request(spark):
+    def send(row):
+        if row["delivery_id"] % 5 == 0:
+            raise OSError("refused")
+        if row["delivery_id"] % 5 == 1:
+            time.sleep(20)
+        if row["delivery_id"] % 5 == 2:
+            return {"status_code": 429, "retry_after": 7}
+        return {"status_code": 200} if row["delivery_id"] % 5 == 3 else "nothing"
+
+    requests = spark.createDataFrame([(k, "b", 1 if k % 2 else None) for k in range(20)], "delivery_id long, body string, timeout_seconds long")
+    opts = Options(dispatch_concurrency=8, timeout_seconds=1)
+    rows = {r.delivery_id: r for r in dispatch.deliver_each(requests, send, opts, tasks=2).collect()}
+    assert sorted(rows) == list(range(20))
+    kinds = {k % 5: (r.status_code, r.failure_kind, r.error_detail, r.retry_after) for k, r in rows.items()}
+    assert kinds[0] == (None, "connection", "OSError: refused", None)
+    assert kinds[1] == (None, "timeout", None, None)
+    assert kinds[2] == (429, None, None, "7") and kinds[3] == (200, None, None, None)
+    assert kinds[4][1] == "connection" and all(r.started_at is not None and r.duration_seconds < 5 for r in rows.values())
+
+
+def test_calls_never_exceed_the_window():
+    running, most, lock = [0], [0], threading.Lock()
+
+    def send(row):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.01)
+        with lock:
+            running[0] -= 1
+        return {"status_code": 200}
+
+    calls, out = dispatch.Calls(send, 3, 5), []
+    for k in range(20):
+        out += calls.start({"delivery_id": k})
+    out += calls.rest()
+    assert most[0] <= 3 and sorted(r.delivery_id.iloc[0] for r in out) == list(range(20))
