@@ -38,7 +38,7 @@ TIMEOUT_TEXT = "callback timeout"
 #: Kind of failure of a request that was never sent; its error text stands as it is.
 REFUSED = "refused"
 
-# A Retry-After beyond this many seconds (about 2800 years) leaves the timestamp range.
+# Longer waits than this many seconds (about 2800 years) leave the timestamp range.
 MAX_RETRY_AFTER = 90_000_000_000
 
 
@@ -219,16 +219,20 @@ def classify_attempts(attempts: DataFrame) -> DataFrame:
 
 
 def retry_after_seconds(text: Column, now: Column) -> Column:
-    """Retry-After as seconds: whole seconds or an HTTP date (0 when past), else NULL."""
+    """Retry-After as seconds: whole seconds or an HTTP date (0 when past), else NULL.
+
+    Whole seconds are unsigned 64-bit numbers; the longest waits end where timestamps do.
+    """
     trimmed = F.regexp_replace(text, r"^\s+|\s+\z", "")
-    whole = F.regexp_replace(trimmed, r"^\+", "").try_cast("bigint")
+    whole = F.regexp_replace(trimmed, r"^\+", "").try_cast("decimal(38,0)")
     # Rare and large, so kept out of the generated code.
     date = vj.bind(trimmed, times.http_date)
     until = times.seconds_between(now.cast("timestamp_ntz"), date)
-    seconds = F.when(trimmed.rlike(r"^\+?[0-9]+\z"), whole.cast("double")).otherwise(
+    known = F.when(whole < F.lit(str(1 << 64)).cast("decimal(38,0)"), whole.cast("double"))
+    seconds = F.when(trimmed.rlike(r"^\+?[0-9]+\z"), known).otherwise(
         vj.bind(until, lambda seconds: F.when(seconds < 0, 0.0).otherwise(seconds))
     )
-    return F.when(seconds <= MAX_RETRY_AFTER, seconds)
+    return F.when(seconds > MAX_RETRY_AFTER, float(MAX_RETRY_AFTER)).otherwise(seconds)
 
 
 def jitter_factor(mode: str, delivery_id: Column, attempt: Column) -> Column:

@@ -30,6 +30,7 @@ from outboxlake.session import STATE_STORE, configure, fresh_path
 from outboxlake.sources import tables
 from outboxlake.streaming import lifecycle
 from outboxlake.streaming import queries as streams
+from outboxlake.streaming.run_log import RunLog
 
 WHOLE = Options(
     payload_size_limit=fixtures.PAYLOAD_LIMIT,
@@ -1065,6 +1066,22 @@ def _(t: Tables):
     return streams.run_to_table(streams.stream_dedupe(replayed, WHOLE), "dedupe", idle_batches=False)
 
 
+@register("run_log", f"SELECT 'metrics' AS worker, CAST(k AS BIGINT) AS batch_id, true AS timed FROM range({_BATCHES}) b(k)")
+def _(t: Tables):
+    """The log of a stream that reads the events in as many micro-batches as there are files."""
+    log = RunLog(t.spark, fresh_path(t.spark, "run-log"))
+    t.spark.streams.addListener(log)
+    try:
+        rows = streams.stream_metrics(fixtures.derive_from(_scattered(t), "varied_events"), WHOLE)
+        sink = streams.metrics_sink(t.spark, fresh_path(t.spark, "metrics"))
+        query = streams.run_counts(rows, sink, fresh_path(t.spark, "counts-state"), name="metrics")
+        query.awaitTermination()
+        log.settled(query)
+    finally:
+        t.spark.streams.removeListener(log)
+    return log.rows().select("worker", "batch_id", (F.col("duration_seconds") > 0).alias("timed"))
+
+
 def _counted(t: Tables, rows: DataFrame, sink: streams.CountSink) -> DataFrame:
     streams.run_counts(rows, sink, fresh_path(t.spark, "counts-state")).awaitTermination()
     totals = sink.totals()

@@ -9,7 +9,6 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from outboxlake.functions import times
 from outboxlake.operators import alerts, fanout, schedule
 from outboxlake.options import Options, RetentionOptions
-from outboxlake.schemas import RUN_LOG
 from outboxlake.session import fresh_path
 from outboxlake.streaming.first_names import CANDIDATES, FirstNames
 from outboxlake.streaming.sinks import CountSink, DeliverySink, writer_of
@@ -115,9 +114,11 @@ def count_stream(rows: DataFrame, sink: CountSink) -> DataStreamWriter:
 
 
 def run_counts(
-    rows: DataFrame, sink: CountSink, checkpoint: str, trigger: dict | None = None
+    rows: DataFrame, sink: CountSink, checkpoint: str, trigger: dict | None = None, name: str | None = None
 ) -> StreamingQuery:
     writer = count_stream(rows, sink).option("checkpointLocation", checkpoint)
+    if name is not None:
+        writer = writer.queryName(name)
     return writer.trigger(**(trigger or AVAILABLE_NOW)).start()
 
 
@@ -152,17 +153,3 @@ def stream_rescan(
     rows = schedule.rescan_since(events, held, opts, as_of, since, highest).new_rows
     part = sink.write(rows, run, 0)
     return sink.folders.read([part], sink.base.schema)
-
-
-def run_log(query: StreamingQuery, worker: str) -> DataFrame:
-    """Durations of the finished batches a query still remembers, as run-log rows.
-
-    A query keeps a fixed number of progress reports (spark.sql.streaming
-    .numRecentProgressUpdates), so this is bounded.
-    """
-    rows = []
-    for p in query.recentProgress:
-        started = times.as_datetime(p["timestamp"])
-        seconds = p["durationMs"].get("triggerExecution", 0) / 1000.0
-        rows.append((str(p["id"]), int(p["batchId"]), worker, started, seconds))
-    return SparkSession.getActiveSession().createDataFrame(rows, RUN_LOG)

@@ -45,6 +45,15 @@ def test_retry_after_texts(spark):
     assert got == cases
 
 
+def test_longest_retry_after_waits_longest(spark):
+    texts = ["90000000001", "18446744073709551615", "18446744073709551616", "9" * 40, "90000000000"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.s for r in df.select("t", dispatch.retry_after_seconds(F.col("t"), F.lit(AS_OF)).alias("s")).collect()}
+    assert [got[t] for t in texts] == [9e10, 9e10, None, None, 9e10]
+    rows = spark.createDataFrame([(1, 1, [60], texts[1])], "delivery_id long, attempt int, backoff array<bigint>, retry_after string")
+    assert str(dispatch.retry_schedule(rows, AS_OF, "none").selectExpr("CAST(next_available_at AS STRING) AS at").head().at) > "4800"
+
+
 def test_backoff_and_jitter(spark):
     rows = [(1, 1, [30, 120, 600], None), (2, 0, [30, 120], None), (3, 5, [30], None), (4, 1, [], None), (5, 1, [30], "600")]
     df = spark.createDataFrame(rows, "delivery_id long, attempt int, backoff array<bigint>, retry_after string")

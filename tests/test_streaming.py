@@ -9,7 +9,7 @@ from outboxlake.operators import alerts, dispatch, external, schedule
 from outboxlake.operators.commands import apply_commands
 from outboxlake.operators.merge import merge_deliveries
 from outboxlake.options import Options, RetentionOptions
-from outboxlake.streaming import lifecycle
+from outboxlake.streaming import lifecycle, run_log
 from outboxlake.streaming import queries as streams
 
 from .conftest import AS_OF, T0
@@ -30,11 +30,8 @@ def test_stream_equals_batch_and_restarts(spark, make_events, make_deliveries, t
     sink = streams.DeliverySink(spark, str(tmp_path / "out"), base)
     stream = spark.readStream.schema(first.schema)
     first.write.mode("append").parquet(source)
-    query = streams.run_schedule(stream.parquet(source), sink, NONE, state, AS_OF)
-    query.awaitTermination()
+    streams.run_schedule(stream.parquet(source), sink, NONE, state, AS_OF).awaitTermination()
     assert sink.new_rows().count() == 4
-    log = streams.run_log(query, "scheduler")
-    assert log.count() >= 1
     # Event 2 arrives again with event 3; only the new one adds rows.
     second.write.mode("append").parquet(source)
     streams.run_schedule(stream.parquet(source), sink, NONE, state, AS_OF).awaitTermination()
@@ -339,3 +336,22 @@ def test_closed_deliveries_are_forgotten(spark, tmp_path):
     ends = _ends(spark, rows, str(tmp_path / "in"), [0, 1, 2, 3], retention=short)
     # The first was done and forgotten, the second was open all the time.
     assert ends[1][3:5] == ("attempt", "processed") and ends[2][3:5] == ("abandon", "dead")
+
+
+def test_run_log_keeps_more_batches_than_a_query_remembers(spark, make_events, tmp_path):
+    log = run_log.RunLog(spark, str(tmp_path / "log"))
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    spark.streams.addListener(log)
+    try:
+        stream = split(spark, make_events(*["[]"] * 16), str(tmp_path / "in"), list(range(8)))
+        sink = streams.metrics_sink(spark, str(tmp_path / "out"))
+        query = streams.run_counts(streams.stream_metrics(stream, NONE), sink, str(tmp_path / "state"), name="counts")
+        query.awaitTermination()
+        assert log.settled(query)
+    finally:
+        spark.streams.removeListener(log)
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    rows = log.rows().collect()
+    assert len(query.recentProgress) <= 3
+    assert sorted(r.batch_id for r in rows) == list(range(8)) and {r.worker for r in rows} == {"counts"}
+    assert all(r.duration_seconds > 0 and r.started_at is not None for r in rows)
