@@ -1,4 +1,10 @@
-"""A corpus run: each stage is written as Parquet and read again as the next one's documents."""
+"""A corpus run: each stage is written as Parquet and read again as the next one's documents.
+
+Every stage takes any table of documents: null ids and texts, empty and very long texts,
+repeated rows, empty tables and columns of any name. Columns of a document come out as they
+went in, but for the masked text and its n_chars; the last stage replaces `tokens` and
+`copies`, and adds `domain` where there is none.
+"""
 
 from __future__ import annotations
 
@@ -10,26 +16,28 @@ from outboxlake.llm.store import stored, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones, rejects go."""
+    """Documents that the classifier, fitted on the labelled ones, rejects go. Repeated rows go or
+    stay together; without labels of both classes, or without text, all stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    kept = toxicity.score(docs, model).where("predicted = 0")
-    return kept.select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("document"))
+    return toxicity.score(rows, model).where("predicted = 0").select("document.*")
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of linked documents stays."""
+    """The document with the smallest id of each class of linked documents stays, with all rows of
+    that id. Documents without words or without an id stay."""
     classes = jaccard.shingle_classes(docs)
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
+    """Documents that leak a benchmark item go; without items all stay."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in place; n_chars follows the text."""
+    """Secrets are masked in place; n_chars follows the text. All documents stay."""
     masked = secrets.redacted(docs)
     if "n_chars" not in docs.columns:
         return masked
@@ -38,8 +46,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents chosen for the mix, with the passes over each."""
-    return mixing.mixed(docs).select(*docs.columns, "domain", "tokens", "copies")
+    """Documents chosen for the mix, with the passes over each. Ties of the seeded order stay together."""
+    own = [c for c in docs.columns if c not in ("domain", "tokens", "copies")]
+    return mixing.mixed(docs).select(*own, "domain", "tokens", "copies")
 
 
 STAGES = [

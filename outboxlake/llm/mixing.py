@@ -155,7 +155,9 @@ def mixed(
     key = F.coalesce(*(F.when(F.col("full") == k, full_pass[k]) for k in range(max_epochs)), F.lit(0).cast("long"))
     rows = narrow.join(need.select("leaf", "full"), "leaf").select("leaf", key.alias("key"), "n")
     last = stored(_last_kept(rows, need), "prefixes")
-    out = docs.withColumn("_leaf", leaf).join(last.withColumnRenamed("leaf", "_leaf"), "_leaf")
+    # Each row travels whole in one column, so that none of its names meets a helper's.
+    held = docs.select(F.struct(*docs.columns).alias("doc"), leaf.alias("leaf")).join(last, "leaf")
+    own = [seeded(seed, F.lit(k), F.col("doc.doc_id")) for k in range(max_epochs)]
+    key = F.coalesce(*(F.when(F.col("full") == k, own[k]) for k in range(max_epochs)), F.lit(0).cast("long"))
     copies = F.col("full") + (key <= F.col("last")).cast("int")
-    out = out.withColumn("tokens", tokens(F.col("text"))).withColumn("copies", copies).where("copies > 0")
-    return out.drop("_leaf", "full", "last")
+    return held.select("doc.*", tokens(F.col("doc.text")).alias("tokens"), copies.alias("copies")).where("copies > 0")

@@ -85,3 +85,21 @@ def test_attention_gradients():
         down = loss()
         p[name][at] = old
         assert abs((up - down) / 2e-6 - g[at]) < 1e-6
+
+
+def test_a_long_text_does_not_push_others_out(spark):
+    rows = [(k, "word " * 10 + str(k)) for k in range(200)]
+    known = spark.createDataFrame([(k, k % 2, k % 2) for k in range(200)], "doc_id long, quality int, toxic int")
+    size = max(len(t) for _, t in rows)
+    for long in range(200):
+        if labelled.sample(spark.createDataFrame(rows[long : long + 1], "doc_id long, text string"), known, "toxic", 3, 1).count():
+            break
+    texts = [(k, t * 2000 if k == long else t) for k, t in rows]
+    frame = spark.createDataFrame([*texts, (5, None), texts[7]], "doc_id long, text string")
+    got = labelled.sample(frame, known, "toxic", 3, 1, sample_bytes=400 * size).collect()
+    assert len(got) > 100 and max(len(r.text or "") for r in got) <= 2 * size
+    assert {r.label for r in got} == {0, 1}
+    # A class with nothing but long texts gives its smallest one.
+    texts = [(k, t * (20 + k) if k % 2 else t) for k, t in rows]
+    got = labelled.sample(spark.createDataFrame(texts, "doc_id long, text string"), known, "toxic", 3, 1, sample_bytes=10 * size).collect()
+    assert sum(r.label for r in got) == 1 and len(got) > 2
