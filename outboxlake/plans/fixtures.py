@@ -86,8 +86,8 @@ _VARIED = [
     """'[{"name": "ab"}, {"name": "abc"}, {"name": "abc_1", "url": 5}, {"name": "1abc"}]'""",
     """'[{"name": "cb_one", "url": "not a url", "signing_key_id": "k1"}, {"name": "cb_two", "url": "https://", "signing_key_id": "k1"}]'""",
     """'[{"name": "cb_one", "url": "https://u:p@a.example.com/", "signing_key_id": "k1"}, {"name": "cb_two", "url": "ftp://a.example.com/", "signing_key_id": "k1"}]'""",
-    """'[{"name": "cb_one", "url": "https://127.0.0.1/hook", "signing_key_id": "k1"}, {"name": "cb_two", "url": "https://[::1]/hook", "signing_key_id": "k1"}, {"name": "cb_three", "url": "https://[fc00::1]/", "signing_key_id": "k1"}]'""",
-    """'[{"name": "cb_one", "url": "https://localhost./hook", "signing_key_id": "k1"}, {"name": "cb_two", "url": "https://metadata.google.internal/hook", "signing_key_id": "k1"}, {"name": "cb_three", "url": "https://93.184.216.34/", "signing_key_id": "k1"}]'""",
+    """'[{"name": "cb_one", "url": "https://127.0.0.1/hook", "signing_key_id": "k1"}, {"name": "cb_two", "url": "https://[::1]/hook", "signing_key_id": "k1"}, {"name": "cb_three", "url": "https://[fd12::9]/", "signing_key_id": "k1"}]'""",
+    """'[{"name": "cb_one", "url": "https://localhost./hook", "signing_key_id": "k1"}, {"name": "cb_two", "url": "https://vault.corp.internal/hook", "signing_key_id": "k1"}, {"name": "cb_three", "url": "https://198.51.100.7/", "signing_key_id": "k1"}]'""",
     """'[{"name": "cb_one", "url": "https://a.example.com/", "signing_key_id": "k1", "mode": "later"}, {"name": "cb_two", "url": "https://a.example.com/", "signing_key_id": "k1", "mode": null}, {"name": "cb_three", "url": "https://a.example.com/", "signing_key_id": 5}]'""",
     """'[{"name": "cb_one", "url": "https://a.example.com/", "signing_key_id": "k1", "headers": null}, {"name": "cb_two", "url": "https://a.example.com/", "signing_key_id": "k1", "headers": {"X A": "1"}}, {"name": "cb_three", "url": "https://a.example.com/", "signing_key_id": "k1", "headers": {"A-Ok": "1", "Cookie": "x"}}]'""",
     """'[{"name": "cb_one", "url": "https://a.example.com/", "signing_key_id": "k1", "headers": {"X-Outbox-Z": "1"}}, {"name": "cb_two", "url": "https://a.example.com/", "signing_key_id": "k1", "headers": {"X-A": "1", "x-a": "2"}}, {"name": "cb_three", "url": "https://a.example.com/", "signing_key_id": "k1", "headers": {"X-A": 1}}, {"name": "cb_four", "url": "https://a.example.com/", "signing_key_id": "k1", "headers": {"X-B": "é"}}, {"name": "cb_five", "url": "https://a.example.com/", "signing_key_id": "k1", "headers": {"X-B": "fine", "X-C": "too"}}]'""",

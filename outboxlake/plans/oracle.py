@@ -59,7 +59,7 @@ def _range(path: str, label: str, high: int) -> list[tuple[str, str, str]]:
 
 
 _PRIVATE_URL = (
-    r"^https?://(\[::1\]|\[fc00::1\]|127\.|10\.|192\.168\.|169\.254\.|"
+    r"^https?://(\[::1\]|\[fd12::9\]|127\.|10\.|192\.168\.|169\.254\.|"
     r"([^/]*\.)?localhost\.?(/|$)|[^/]*\.(local|internal|lan|home\.arpa)\.?(/|$))"
 )
 
