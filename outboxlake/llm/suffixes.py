@@ -52,6 +52,7 @@ STEP_BYTES = 1 << 17
 SAMPLE = 20_000
 _NO_ID = np.iinfo(np.int64).max
 _PLACE = np.uint64((1 << 30) - 1)
+_SPREAD = np.uint64(0xD1342543DE82EF95)
 
 _BLOCKS = pa.schema(
     [("block", pa.string()), ("ids", pa.binary()), ("lengths", pa.binary()), ("size", pa.int64()), ("data", pa.binary()), ("sample", pa.list_(pa.binary()))]
@@ -113,7 +114,8 @@ def _anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     shape = ((anchor - first) * 64 + last - anchor + BEFORE).astype(np.uint64)
     context = bs.mix(bs.span_hash(sums, first, last + SPAN) ^ bs.mix(shape))
     second = bs.mix(bs.span_hash(_second_sums(data), first, last + SPAN) ^ shape)
-    return np.stack([anchor, first, last]), np.stack([grams[anchor], context, second])
+    # Anchors are least hashes, so they crowd near zero: spread again before they are dealt out.
+    return np.stack([anchor, first, last]), np.stack([bs.mix(grams[anchor] ^ _SPREAD), context, second])
 
 
 class Block:
