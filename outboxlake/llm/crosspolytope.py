@@ -8,14 +8,16 @@ which its closest call among the vertices went the other way. A pair is found wh
 the two lies where the other one lies or visits.
 
 The number of vertices per bucket grows with the logarithm of the vectors, so that buckets
-keep their size. Equal vectors are one row with a weight. Only keys are shuffled first;
+keep their size, and the number of tables with the vertices, so that recall keeps: it is
+set from random pairs of cosine 0.95, to find `RECALL` of them. Vectors are hashed and
+compared by their length; only equal lengths share buckets. Equal vectors are one row with a weight. Only keys are shuffled first;
 vectors travel to buckets of two and more. Large buckets are cut into chunks whose pairs
 are compared block by block with a matrix product; a task returns a count of links and a
 spanning forest per chunk pair, never its pairs. A pair that meets in several buckets
 counts in the first one only.
 
-Vectors that are null, empty, zero, of another length than most, or hold null or non-finite
-components link with nothing. Rows with a null id are returned with a null component. A
+Vectors that are null, empty, zero, or hold null or non-finite components link with nothing,
+and vectors of different lengths not with each other. Rows with a null id are returned with a null component. A
 repeated id is one vector for the components and several for the counts.
 """
 
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,7 +38,11 @@ from outboxlake.llm.components import Forest, components
 from outboxlake.llm.store import prepare, stored
 
 COSINE = 0.95
+#: Tables at least; more where pairs of cosine 0.95 would be found with less than `RECALL`.
 TABLES = 8
+RECALL = 0.98
+#: Random pairs that the share found by one table is taken from, in each of `TABLES` tables.
+PAIRS = 256
 PROBES = 3
 ROUNDS = 3
 CHUNK = 1024
@@ -54,10 +61,37 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(n)
 
 
-def signs(dim: int, vertices: int) -> np.ndarray:
+def signs(dim: int, vertices: int, tables: int = TABLES) -> np.ndarray:
     """Random signs for every table, vertex and round."""
     size = 1 << max(1, (dim - 1).bit_length())
-    return np.random.default_rng(SEED).choice([-1.0, 1.0], (TABLES, vertices, ROUNDS, size))
+    return np.random.default_rng(SEED).choice([-1.0, 1.0], (tables, vertices, ROUNDS, size))
+
+
+def vertices_for(dim: int, n: int) -> int:
+    """Vertices per bucket that keep buckets of n vectors small."""
+    per_vertex = math.log2(2 << max(1, (dim - 1).bit_length()))
+    return max(1, math.ceil((math.log2(max(n, 2)) - 1) / per_vertex))
+
+
+def tables_for(dim: int, vertices: int) -> int:
+    """Tables that find a pair of cosine `COSINE` with a probability of `RECALL`."""
+    if dim == 1:
+        return TABLES
+    rng = np.random.default_rng(SEED + 1)
+    a, b = _unit(rng.normal(size=(PAIRS, dim))), rng.normal(size=(PAIRS, dim))
+    b = _unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    flips = signs(dim, vertices)
+    (home_a, visit_a), (home_b, visit_b) = hashed(a, flips), hashed(COSINE * a + math.sqrt(1 - COSINE**2) * b, flips)
+    meets = (home_a == home_b) | (visit_a == home_b[:, :, None]).any(axis=2) | (visit_b == home_a[:, :, None]).any(axis=2)
+    missed = 1 - min(max(meets.mean(), 1e-3), 1 - 1e-9)
+    return max(TABLES, math.ceil(math.log(1 - RECALL) / math.log(missed)))
+
+
+@lru_cache(maxsize=32)
+def flips_for(dim: int, n: int) -> np.ndarray:
+    """The signs for vectors of this length in a table of n; the same in every task."""
+    vertices = vertices_for(dim, n)
+    return signs(dim, vertices, tables_for(dim, vertices))
 
 
 def hashed(x: np.ndarray, flips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +117,7 @@ def hashed(x: np.ndarray, flips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             others.append(top[:, 1:])
             calls.append(value[:, :1] - value[:, 1:])
         code = np.stack(codes, 1).astype(np.uint64)
-        home[:, t] = _key(code, t)
+        home[:, t] = _key(code, t, x.shape[1])
         # The closest calls over all vertices of the bucket, one vertex changed at a time.
         gaps = np.concatenate(calls, 1)
         best = np.argpartition(gaps, PROBES - 1, axis=1)[:, :PROBES]
@@ -92,21 +126,27 @@ def hashed(x: np.ndarray, flips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             changed = code.copy()
             rows = np.arange(n)
             changed[rows, vertex] = np.stack(others, 1)[rows, vertex, other].astype(np.uint64)
-            visits[:, t, p] = _key(changed, t)
+            visits[:, t, p] = _key(changed, t, x.shape[1])
     return home, visits
 
 
-def _key(code: np.ndarray, table: int) -> np.ndarray:
-    key = np.full(len(code), table + 1, np.uint64)
+def _key(code: np.ndarray, table: int, dim: int) -> np.ndarray:
+    key = np.full(len(code), (dim << 24) + table + 1, np.uint64)
     for v in range(code.shape[1]):
         key = bs.mix(key * np.uint64(0x9E3779B97F4A7C15) + code[:, v] + np.uint64(1))
     return key
 
 
-def _matrix(values: list, dim: int) -> np.ndarray:
-    """Packed singles or doubles, by their length, as doubles."""
-    kind = np.float32 if len(values[0]) == 4 * dim else np.float64
-    return np.frombuffer(b"".join(values), kind).reshape(-1, dim).astype(np.float64)
+def _matrix(values: list, kind: str) -> np.ndarray:
+    """Packed singles or doubles of one length as doubles."""
+    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1).astype(np.float64)
+
+
+def _by_length(values: list) -> Iterator[np.ndarray]:
+    """Places of the values of each length."""
+    size = np.fromiter(map(len, values), np.int64, len(values))
+    for one in np.unique(size):
+        yield np.flatnonzero(size == one)
 
 
 _CLEAN = pa.schema([("vec_id", pa.int64()), ("vector", pa.binary())])
@@ -136,18 +176,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _keys(flips, dim: int):
+def _keys(n: int, kind: str):
     schema = pa.schema([("rep", pa.int64()), ("bucket", pa.int64()), ("home", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            home, visits = hashed(_unit(_matrix(batch.column("vector").to_pylist(), dim)), flips.value)
-            ids = batch.column("rep").to_numpy()
-            yield bs.batch_of(schema, np.repeat(ids, home.shape[1]), home.ravel().astype(np.int64), np.ones(home.size, bool))
-            per = visits.shape[1] * visits.shape[2]
-            yield bs.batch_of(schema, np.repeat(ids, per), visits.ravel().astype(np.int64), np.zeros(visits.size, bool))
+            vectors, reps = batch.column("vector").to_pylist(), batch.column("rep").to_numpy()
+            for at in _by_length(vectors):
+                x = _unit(_matrix([vectors[i] for i in at], kind))
+                home, visits = hashed(x, flips_for(x.shape[1], n))
+                ids = reps[at]
+                yield bs.batch_of(schema, np.repeat(ids, home.shape[1]), home.ravel().astype(np.int64), np.ones(home.size, bool))
+                per = visits.shape[1] * visits.shape[2]
+                yield bs.batch_of(schema, np.repeat(ids, per), visits.ravel().astype(np.int64), np.zeros(visits.size, bool))
 
     return run
 
@@ -189,14 +232,18 @@ class _Links:
         return pd.concat([out.groupby(["a", "b"], as_index=False).sum(), pd.DataFrame(self.tree, columns=["a", "b", "links"])]).astype("int64")
 
 
-def _compare(flips, dim: int):
+def _compare(n: int, kind: str):
     """Links in a group of small buckets, or of one chunk pair of a large bucket."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # A bucket has vectors of one length, a group of small buckets may have several.
+        return pd.concat([one_length(pdf.iloc[at]) for at in _by_length(list(pdf["vector"]))])
+
+    def one_length(pdf: pd.DataFrame) -> pd.DataFrame:
         # Side 0 are residents; side 1 are visitors, or the residents of the other chunk.
         pdf = pdf.sort_values(["bucket", "side", "rep"], kind="stable")
-        x = _unit(_matrix(list(pdf["vector"]), dim))
-        links = _Links(x, pdf, flips.value)
+        x = _unit(_matrix(list(pdf["vector"]), kind))
+        links = _Links(x, pdf, flips_for(x.shape[1], n))
         bucket, side = pdf["bucket"].to_numpy(), pdf["side"].to_numpy()
         if pdf["l"].iloc[0] < 0:
             end = np.searchsorted(bucket, bucket, "right")
@@ -206,9 +253,9 @@ def _compare(flips, dim: int):
             done = 0
             while done < len(own):
                 stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + (1 << 18), "right")))
-                n, rows = after[done:stop], own[done:stop]
-                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                links.check(np.repeat(rows, n), np.repeat(rows, n) + 1 + step)
+                many, rows = after[done:stop], own[done:stop]
+                step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                links.check(np.repeat(rows, many), np.repeat(rows, many) + 1 + step)
                 done = stop
             return links.rows()
         left = int((side == 0).sum())
@@ -244,23 +291,13 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     spark = prepare(embeddings.sparkSession)
     rows = embeddings.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_clean, "vec_id long, vector binary")
     rows = stored(rows, "vectors")
-    usual = rows.where("vector is not null").groupBy(F.length("vector").alias("size")).count()
-    usual = usual.orderBy(F.desc("count"), "size").first()
-    if usual is None:
-        alone = F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept")
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), *alone)
-    single = embeddings.schema["embedding"].dataType.elementType.typeName() == "float"
-    dim = usual["size"] // (4 if single else 8)
     # Equal values have equal bytes; scaled copies are compared like any other pair.
-    fits = rows.where((F.length("vector") == usual["size"]) & F.col("vec_id").isNotNull())
+    fits = rows.where(F.col("vector").isNotNull() & F.col("vec_id").isNotNull())
     reps = fits.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     reps = stored(reps, "reps")
     n = reps.count()
-    per_vertex = math.log2(2 << max(1, (dim - 1).bit_length()))
-    vertices = max(1, math.ceil((math.log2(max(n, 2)) - 1) / per_vertex))
-    flips = spark.sparkContext.broadcast(signs(dim, vertices))
-
-    keys = stored(reps.select("rep", "vector").mapInArrow(_keys(flips, dim), _KEYS_DDL), "keys")
+    kind = "f4" if embeddings.schema["embedding"].dataType.elementType.typeName() == "float" else "f8"
+    keys = stored(reps.select("rep", "vector").mapInArrow(_keys(n, kind), _KEYS_DDL), "keys")
     sizes = keys.groupBy("bucket").agg(
         F.sum(F.col("home").cast("int")).alias("residents"), F.count("*").alias("members")
     ).where("residents > 0 and members > 1")
@@ -285,7 +322,7 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     right = home.select("part", F.explode(before).alias("l"), at.alias("r"), F.lit(1).alias("side"), "bucket", "rep")
     visiting = visitor.select("part", F.explode(number).alias("l"), (F.col("chunks") + at).alias("r"), F.lit(1).alias("side"), "bucket", "rep")
     work = small.union(left).union(right).union(visiting).join(reps, "rep")
-    found = work.groupBy("part", "l", "r").applyInPandas(_compare(flips, dim), _FOUND_DDL)
+    found = work.groupBy("part", "l", "r").applyInPandas(_compare(n, kind), _FOUND_DDL)
     found = stored(found, "links")
     counts = found.where("a = b").groupBy("a").agg(F.sum("links").alias("links"))
     classes = components(found.where("a <> b").select("a", "b"))

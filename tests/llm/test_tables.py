@@ -102,14 +102,16 @@ def test_snapshots_collapse(spark):
 def _links(rows):
     from outboxlake.llm.components import Forest
 
-    good = [(i, np.array(v, float)) for i, v in rows if v is not None and None not in v and len(v) == 16 and np.isfinite(np.array(v, float)).all() and any(v)]
-    x = np.stack([v / np.linalg.norm(v) for _, v in good])
-    near = x @ x.T >= 0.95
-    np.fill_diagonal(near, False)
-    forest = Forest()
-    for i, j in zip(*np.nonzero(near), strict=True):
-        forest.join(good[i][0], good[j][0])
-    counts = {i: int(n) for (i, _), n in zip(good, near.sum(1), strict=True)}
+    good = [(i, np.array(v, float)) for i, v in rows if v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    forest, counts = Forest(), {}
+    for size in {len(v) for _, v in good}:
+        ids = [i for i, v in good if len(v) == size]
+        x = np.stack([v / np.linalg.norm(v) for _, v in good if len(v) == size])
+        near = x @ x.T >= 0.95
+        np.fill_diagonal(near, False)
+        for i, j in zip(*np.nonzero(near), strict=True):
+            forest.join(ids[i], ids[j])
+        counts |= dict(zip(ids, near.sum(1).tolist(), strict=True))
     return {i: (counts.get(i, 0), forest.find(i), forest.find(i) == i) for i, _ in rows}
 
 
@@ -123,6 +125,10 @@ def test_near_vectors_match_brute_force(spark):
         of = np.array(rows[int(rng.integers(0, 12))][1])
         rows.append((k, (of + 0.05 * rng.normal(size=16)).tolist()))
     rows += [(1000 + k, rows[3][1]) for k in range(40)] + [(1100, [2 * v for v in rows[3][1]])]
+    # Other lengths link among themselves.
+    few = rng.normal(size=(30, 5))
+    rows += [(3000 + i, (few[i % 30] + 0.02 * rng.normal(size=5)).tolist()) for i in range(60)]
+    rows += [(3100, [2.0]), (3101, [0.5]), (3102, [-1.0]), (3103, [1.0, 1.0]), (3104, [1.0, 1.1])]
     rows += [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] * 16), (2004, []), (2005, [1.0] * 3)]
     frame = spark.createDataFrame([(i, v, 0, "b") for i, v in rows], VECTORS).repartition(4)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in crosspolytope.near_vectors(frame).collect()}
@@ -133,6 +139,20 @@ def test_near_vectors_match_brute_force(spark):
     assert crosspolytope.near_vectors(frame.limit(0)).collect() == []
 
 
+def test_tables_keep_recall_where_the_vectors_grow():
+    rng = np.random.default_rng(8)
+    for n in (50_000, 10**9, 10**11):
+        flips = crosspolytope.flips_for(64, n)
+        a = rng.normal(size=(400, 64))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = rng.normal(size=(400, 64))
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = 0.952 * a + np.sqrt(1 - 0.952**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        (home_a, visit_a), (home_b, visit_b) = crosspolytope.hashed(a, flips), crosspolytope.hashed(b, flips)
+        met = (home_a == home_b) | (visit_a == home_b[:, :, None]).any(2) | (visit_b == home_a[:, :, None]).any(2)
+        assert met.any(axis=1).mean() >= 0.95
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 64))
     y = crosspolytope.hadamard(x)
