@@ -5,7 +5,13 @@ line of their version and the declared lengths, `to_warc` turns the captures int
 records with identifiers, ISO timestamps, types and SHA-1 digests of block and payload, and
 `read_warc` reads WARC files back. Archives are written by Spark's text writer with the
 record separator of the format, so any file system Spark knows will do, and a file is as
-large as an input split. Files are parsed as streams, a record at a time.
+large as an input split. A file is read as one value of at most 2 GB and parsed a record at a
+time; payloads stay bytes throughout, so images and the like come through.
+
+Addresses and media types in header lines may hold spaces. A record that cannot be read (a
+line that is no header, a wrong date, a missing end, broken compression) raises, or, where a
+path for rejects is given, is written there with its file, offset and problem while reading
+goes on at the next header line.
 
 Of captures with equal payloads of at least 1000 bytes, the one with the largest page id is
 a response and the others are revisits of it; captures of equal, largest id are all
@@ -21,6 +27,8 @@ import base64
 import gzip
 import hashlib
 import io
+import re
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
@@ -40,6 +48,9 @@ FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
+#: What the values of a header line look like, if not free of spaces.
+_SHAPES = {"URL": r"(.*)", "Archive-date": r"(\d{14})", "Content-type": r"(.*)", "Archive-length": r"(\d+)"}
+_LINES = {version: re.compile(" ".join(_SHAPES.get(f, r"(\S+)") for f in fields), re.ASCII) for version, fields in FIELDS.items()}
 _PAGE = "urn:page:"
 _START = datetime(2024, 1, 1, tzinfo=UTC)
 
@@ -61,11 +72,15 @@ def _arc_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
             http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{page}Content-Length: {size}\r\n\r\n"
             when = _START + timedelta(seconds=(page_id or 0) % 31_536_000)
-            address = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "") or "urn:page"
+            address = _address(url or "") or "urn:page"
             out.append(f"{_arc_header(version, address, when, 'text/html', name, len(http) + size)}\n{http}{html}")
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
 
+def _address(url: str) -> str:
+    return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
+
+
 def _arc_header(version: int, url: str, when: datetime, kind: str, name: str, length: int) -> str:
     known = {"URL": url, "IP-address": "0.0.0.0", "Archive-date": f"{when:%Y%m%d%H%M%S}", "Content-type": kind, "Result-code": "200"}
     known |= {"Filename": name, "Archive-length": str(length)}
@@ -97,25 +112,56 @@ def _exactly(stream: io.BufferedReader, length: int, path: str) -> bytes:
     return block
 
 
-def arc_records(stream: io.BufferedReader, path: str) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of every record; the first record names the version of the rest."""
-    fields = FIELDS[1]
-    first = True
-    while line := stream.readline():
-        if line in (b"\n", b"\r\n"):
-            continue
-        # The first line has the version-1 shape whatever the version.
-        values = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
-        if len(values) != len(fields):
-            raise ValueError(f"{path}: a header line of {len(values)} fields, {len(fields)} expected")
-        header = dict(zip(fields, values, strict=True))
-        block = _exactly(stream, int(header["Archive-length"]), path)
-        yield header, block
-        if first:
-            version = int(block.split(b" ", 1)[0])
-            if version not in FIELDS:
-                raise ValueError(f"{path}: ARC version {version} is not known")
-            fields, first = FIELDS[version], False
+#: A record that could not be read: its offset in the (unpacked) file and why.
+Broken = tuple[int, str]
+
+
+def arc_records(stream: io.BufferedReader, path: str, broken: list[Broken] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of every record; the first record names the version of the rest.
+
+    Records that cannot be read are added to `broken`, or raise ValueError where it is None.
+    """
+
+    def fail(at: int, problem: str) -> None:
+        if broken is None:
+            raise ValueError(f"{path}: {problem} at byte {at}")
+        broken.append((at, problem))
+
+    version, first, offset, lost = 1, True, 0, False
+    try:
+        while line := stream.readline():
+            at, offset = offset, offset + len(line)
+            if line in (b"\n", b"\r\n"):
+                continue
+            # The first line has the version-1 shape whatever the version.
+            found = _LINES[version].fullmatch(line.decode("utf-8", "replace").rstrip("\r\n"))
+            if not found:
+                if not lost:
+                    fail(at, f"a line that is no header of version {version}")
+                lost = True
+                continue
+            lost = False
+            header = dict(zip(FIELDS[version], found.groups(), strict=True))
+            length = int(header["Archive-length"])
+            block = stream.read(length)
+            offset += len(block)
+            if len(block) != length:
+                fail(at, f"a record declares {length} bytes and has {len(block)}")
+                return
+            try:
+                datetime.strptime(header["Archive-date"], "%Y%m%d%H%M%S")
+            except ValueError:
+                fail(at, f"the date {header['Archive-date']}")
+                continue
+            yield header, block
+            if first:
+                first, own = False, block.split(b" ", 1)[0].strip()
+                if own.isdigit() and int(own) in FIELDS:
+                    version = int(own)
+                else:
+                    fail(at, f"ARC version {own[:20]!r} is not known")
+    except (EOFError, OSError, zlib.error) as error:
+        fail(offset, f"broken compression ({error})")
 
 
 def http_parts(block: bytes) -> tuple[bytes, bytes, dict[str, str]]:
@@ -145,17 +191,22 @@ _CAPTURES = pa.schema(
         ("payload_sha1", pa.string()),
         ("block_sha1", pa.string()),
         ("head_sha1", pa.string()),
-        ("head", pa.string()),
-        ("payload", pa.string()),
+        ("head", pa.binary()),
+        ("payload", pa.binary()),
     ]
 )
-_CAPTURES_DDL = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in _CAPTURES)
+_TYPES = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+_CAPTURES_DDL = ", ".join(f"{f.name} {_TYPES[f.type]}" for f in _CAPTURES)
+
 
+def _parse_arc(strict: bool):
+    return lambda batches: _captures(batches, strict)
 
-def _parse_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _captures(batches: Iterator[pa.RecordBatch], strict: bool) -> Iterator[pa.RecordBatch]:
     rows, held = [], 0
     for path, stream in _streams(batches):
-        for k, (header, block) in enumerate(arc_records(stream, path)):
+        for k, (header, block) in enumerate(arc_records(stream, path, None if strict else [])):
             about = header["URL"].startswith("filedesc:")
             head, payload, values = (b"", block, {}) if about else http_parts(block)
             date = datetime.strptime(header["Archive-date"], "%Y%m%d%H%M%S")
@@ -163,15 +214,15 @@ def _parse_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 (
                     path,
                     k,
-                    header["URL"],
+                    _address(header["URL"]),
                     header["IP-address"],
                     f"{date:%Y-%m-%dT%H:%M:%SZ}",
                     "warcinfo" if about else "response",
                     _number(values.get("x-page-id")),
                     len(payload),
                     *(hashlib.sha1(x).hexdigest() for x in (payload, block, head)),
-                    head.decode("utf-8", "replace"),
-                    payload.decode("utf-8", "replace"),
+                    head,
+                    payload,
                 )
             )
             held += len(block)
@@ -182,14 +233,33 @@ def _parse_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield bs.batch_of(_CAPTURES, *([r[c] for r in rows] for c in range(len(_CAPTURES))))
 
 
+_REJECTS = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("problem", pa.string())])
+
+
+def _broken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for path, stream in _streams(batches):
+        broken: list[Broken] = []
+        for _ in arc_records(stream, path, broken):
+            pass
+        if broken:
+            yield bs.batch_of(_REJECTS, [path] * len(broken), [b[0] for b in broken], [b[1] for b in broken])
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     # Spark's own files start with an underscore or a dot.
     return spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select("path", "content")
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: address, time, payload and digests (hex SHA-1)."""
-    return _files(prepare(spark), path).mapInArrow(_parse_arc, _CAPTURES_DDL)
+def read_arc(spark: SparkSession, path: str, rejects: str | None = None) -> DataFrame:
+    """One row per record: address, time, payload and digests (hex SHA-1).
+
+    With a path for `rejects`, records that cannot be read are written there as Parquet
+    (archive, offset, problem) by a pass of its own; without one they raise.
+    """
+    files = _files(prepare(spark), path)
+    if rejects is not None:
+        files.mapInArrow(_broken, "archive string, offset long, problem string").write.parquet(rejects)
+    return files.mapInArrow(_parse_arc(rejects is None), _CAPTURES_DDL)
 
 
 def with_revisits(captures: DataFrame) -> DataFrame:
@@ -216,9 +286,9 @@ def warc_lines(captures: DataFrame) -> DataFrame:
     """The WARC record of each capture, without the closing empty lines."""
     revisit = F.col("lead").isNotNull()
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.col("kind"))
-    block = F.concat("head", F.when(revisit, F.lit("")).otherwise(F.col("payload")))
+    block = F.concat("head", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")))
     about = F.col("kind") == "warcinfo"
-    media = F.when(about, F.lit("application/arc-fields")).when(F.col("head") == "", F.lit("text/html"))
+    media = F.when(about, F.lit("application/arc-fields")).when(F.length("head") == 0, F.lit("text/html"))
     media = media.otherwise(F.lit("application/http; msgtype=response"))
     own = F.concat_ws(" ", F.regexp_extract("archive", "[^/]+$", 0), F.col("position").cast("string"))
     fields = [
@@ -236,16 +306,18 @@ def warc_lines(captures: DataFrame) -> DataFrame:
         ("Content-Length", F.octet_length(block).cast("string")),
     ]
     lines = F.concat_ws("\r\n", F.lit("WARC/1.1"), *(F.concat(F.lit(f"{name}: "), value) for name, value in fields))
-    return captures.select(F.concat(lines, F.lit("\r\n\r\n"), block).alias("value"))
+    # The text writer writes a string's bytes as they are, valid UTF-8 or not.
+    whole = F.concat(F.concat(lines, F.lit("\r\n\r\n")).cast("binary"), block)
+    return captures.select(whole.cast("string").alias("value"))
 
 
 def write_warc(captures: DataFrame, path: str) -> None:
     warc_lines(captures).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(path)
 
 
-def to_warc(spark: SparkSession, arc_path: str, warc_path: str) -> None:
-    """Converts a folder of ARC files to one of WARC files."""
-    write_warc(with_revisits(read_arc(spark, arc_path)), warc_path)
+def to_warc(spark: SparkSession, arc_path: str, warc_path: str, rejects: str | None = None) -> None:
+    """Converts a folder of ARC files to one of WARC files; for `rejects` see `read_arc`."""
+    write_warc(with_revisits(read_arc(spark, arc_path, rejects)), warc_path)
 
 
 def warc_records(stream: io.BufferedReader, path: str) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -189,3 +189,38 @@ def test_archive_versions_and_declared_lengths():
     assert records[1][0]["Result-code"] == "200" and records[1][1] == b"he\nlo"
     with pytest.raises(ValueError, match="declares"):
         list(warc.arc_records(stream(data[:-4]), "x"))
+
+
+def test_foreign_archives_with_bytes_spaces_and_broken_records(spark, tmp_path):
+    import gzip
+
+    def record(url, payload, kind="image/png", date="20010203040506", length=None):
+        block = b"HTTP/1.0 200 OK\r\nContent-Type: x\r\n\r\n" + payload
+        return b"%s 1.2.3.4 %s %s %d\n%s\n" % (url, date.encode(), kind.encode(), len(block) if length is None else length, block)
+
+    about = b"1 0 crawler\nURL IP-address Archive-date Content-type Archive-length\n"
+    first = b"filedesc://x.arc 0.0.0.0 20010101000000 text/plain %d\n%s\n" % (len(about), about)
+    image = bytes(range(256)) * 8
+    good = [record(b"http://a/b c.png", image), record(b"http://a/\xff", b"\x89PNG\r\n\r\n"), record(b"http://a/t", b"x y", "text/html; charset=x")]
+    bad = [b"no header here\n", record(b"http://a/d", b"d", date="20011303040506"), record(b"http://a/z", b"cut", length=999)]
+    folder = tmp_path / "arc"
+    folder.mkdir()
+    # Records of one file are compressed together or one by one.
+    (folder / "one.arc.gz").write_bytes(b"".join(gzip.compress(x) for x in [first, *good[:2], *bad[:2], good[2], bad[2]]))
+    (folder / "two.arc").write_bytes(first + good[0])
+    (folder / "three.arc.gz").write_bytes(gzip.compress(first + record(b"http://a/v", b"v"))[:-9])
+    warc.to_warc(spark, str(folder), str(tmp_path / "warc"), str(tmp_path / "rejects"))
+    got = sorted((r.uri, r.payload_bytes, r.payload_digest) for r in warc.read_warc(spark, str(tmp_path / "warc")).collect())
+    sha1 = lambda x: hashlib.sha1(x).hexdigest()
+    kept = [("http://a/b%20c.png", image), ("http://a/\ufffd", b"\x89PNG\r\n\r\n"), ("http://a/t", b"x y"), ("http://a/b%20c.png", image)]
+    assert [g for g in got if g[0] != "http://a/v"] == sorted((u, len(p), sha1(p)) for u, p in kept)
+    rejects = {(r.archive.rsplit("/", 1)[-1], r.problem[:12]): r.offset for r in spark.read.parquet(str(tmp_path / "rejects")).collect()}
+    at = len(first + b"".join(good[:2]))
+    assert rejects.pop(("three.arc.gz", "broken compr")) >= 0
+    assert rejects == {
+        ("one.arc.gz", "a line that "): at,
+        ("one.arc.gz", "the date 200"): at + len(bad[0]),
+        ("one.arc.gz", "a record dec"): at + len(bad[0] + bad[1] + good[2]),
+    }
+    with pytest.raises(Exception, match="no header|broken compression"):
+        warc.read_arc(spark, str(folder)).collect()
