@@ -18,7 +18,7 @@ of 0 give nothing, missing ones count as 1. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from outboxlake.llm.store import prepare, stored
@@ -28,6 +28,10 @@ LEVELS = ("domain", "lang", "source")
 SHARE = 0.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
+#: The mix that the registered queries ask for; names that are missing weigh 1.
+DOMAIN_WEIGHTS = {"domain0": 4.0, "domain1": 3.0, "domain2": 2.0, "domain3": 1.0}
+LANG_WEIGHTS = {"en": 3.0, "de": 2.0}
+SOURCE_WEIGHTS = {"src0": 2.0, "src1": 0.5, "src2": 4.0}
 _BINS = 1 << 10
 _BITS = 60
 
@@ -42,6 +46,14 @@ def domain(source: Column) -> Column:
     return F.concat(F.lit("domain"), F.pmod(F.crc32(F.coalesce(source, F.lit(""))), F.lit(4)).cast("string"))
 
 
+def target_weights(spark: SparkSession) -> DataFrame:
+    """The weights above as a table for `mixed`: one row per node of the tree."""
+    rows = [(d, None, None, w) for d, w in DOMAIN_WEIGHTS.items()]
+    rows += [(d, l, None, w) for d in DOMAIN_WEIGHTS for l, w in LANG_WEIGHTS.items()]
+    rows += [(d, l, s, w) for d in DOMAIN_WEIGHTS for l in LANG_WEIGHTS for s, w in SOURCE_WEIGHTS.items()]
+    return spark.createDataFrame(rows, "domain string, lang string, source string, weight double")
+
+
 def seeded(seed: str, epoch: Column, doc_id: Column) -> Column:
     """A 60-bit order of a leaf's rows for one epoch."""
     text = F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("")))

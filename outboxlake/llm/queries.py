@@ -24,7 +24,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = mixing.mixed(table(spark, sf_dir, "documents"))
+    chosen = mixing.mixed(table(spark, sf_dir, "documents"), mixing.target_weights(spark))
     return chosen.select("doc_id", "domain", "lang", "source", "tokens", "copies")
 
 

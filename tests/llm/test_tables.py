@@ -24,7 +24,7 @@ def _fill(budget, children):
     return got
 
 
-def _mix(rows, share, epochs, seed):
+def _mix(rows, share, epochs, seed, weights=None):
     key = lambda e, d: int(hashlib.md5(f"{seed}:{e}:{'' if d is None else d}".encode()).hexdigest()[:15], 16)
     leaves = defaultdict(list)
     for doc, text, lang, source, domain in rows:
@@ -35,7 +35,7 @@ def _mix(rows, share, epochs, seed):
         if len(path) == 3:
             return {path: budget}
         kids = {k[: len(path) + 1] for k in have if k[: len(path)] == path}
-        sizes = {k: (1.0, epochs * sum(n for x, n in have.items() if x[: len(k)] == k)) for k in kids}
+        sizes = {k: ((weights or {}).get(k, 1.0), epochs * sum(n for x, n in have.items() if x[: len(k)] == k)) for k in kids}
         out = {}
         for k, b in _fill(budget, sizes).items():
             out |= down(k, b)
@@ -72,6 +72,25 @@ def test_mix_matches_plain_allocation(spark, share, epochs):
     assert set(got.columns) == {*docs.columns, "copies"}
 
 
+def test_mix_follows_weights_of_every_level(spark):
+    rng = random.Random(4)
+    weights = {("web",): 3.0, ("books",): 0.5, ("web", "en"): 4.0, ("web", "de"): 0.25, ("books", "de"): 2.0}
+    weights |= {("web", "en", "hot"): 0.5, ("web", "en", "s1"): 8.0, ("books", "de", "s2"): 0.0}
+    rows = []
+    for d in range(400):
+        place = (rng.choice(["hot", "s1", "s2", "s3"]), rng.choice(["web", "web", "books", "code"]))
+        rows.append((d, " ".join("w" * rng.randint(1, 40)), rng.choice(["en", "de", None]), *place))
+    docs = spark.createDataFrame([(*r, "t") for r in rows], MIX).repartition(4)
+    asked = [((*k, None, None)[:3], w) for k, w in weights.items()]
+    asked = spark.createDataFrame([(*k, w) for k, w in asked], "domain string, lang string, source string, weight double")
+    got = mixing.mixed(docs, asked, share=0.5, max_epochs=2)
+    rows = [r for r in rows if (r[4], r[2], r[3]) != ("books", "de", "s2")]
+    total = sum(len(r[1].split()) for r in docs.select("doc_id", "text").collect())
+    have = sum(len(r[1].split()) for r in rows)
+    assert {r.doc_id: r.copies for r in got.collect()} == _mix(rows, 0.5 * total / have, 2, mixing.SEED, weights)
+    assert mixing.target_weights(spark).where("weight <= 0").count() == 0
+
+
 def test_mix_weights_and_empty_table(spark):
     rows = [(d, "a b c d", "en", "s1" if d % 2 else "s2", "web", "") for d in range(100)]
     docs = spark.createDataFrame(rows, MIX)
