@@ -48,7 +48,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents chosen for the mix, with the passes over each. Ties of the seeded order stay together."""
     own = [c for c in docs.columns if c not in ("domain", "tokens", "copies")]
-    return mixing.mixed(docs).select(*own, "domain", "tokens", "copies")
+    return mixing.mixed(docs, mixing.target_weights(spark)).select(*own, "domain", "tokens", "copies")
 
 
 STAGES = [
