@@ -1,12 +1,11 @@
-"""Keyed state behind deduplication: the callback names given out for each event."""
+"""The first row of every callback name of an event, within a micro-batch and across them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 CANDIDATES = T.StructType(
     [
@@ -17,34 +16,26 @@ CANDIDATES = T.StructType(
         T.StructField("dead_letter", T.BooleanType(), True),
     ]
 )
-_KEY = T.StructType([T.StructField("label", T.StringType(), True)])
-_SEEN = T.StructType([T.StructField("seen", T.BooleanType(), True)])
-
-
-class FirstNames(StatefulProcessor):
-    """Lets the first row of every name of an event through: a valid one, else the first by
-    event number and place. Names are forgotten ``keep`` milliseconds after they were seen."""
-
-    def __init__(self, keep: int) -> None:
-        self.keep = keep
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.names = handle.getMapState("names", _KEY, _SEEN, self.keep)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        best: dict[str, tuple] = {}
-        for chunk in rows:
-            for row in zip(*(chunk[c] for c in ("label", "id", "dead_letter", "pos")), strict=True):
-                label, rank = row[0], row[1:]
-                if label not in best or rank < best[label]:
-                    best[label] = rank
-        fresh = [label for label in best if not self.names.containsKey((label,))]
-        for label in fresh:
-            self.names.updateValue((label,), (True,))
-        yield pd.DataFrame(
-            [(int(best[n][0]), key[0], n, int(best[n][2]), bool(best[n][1])) for n in fresh],
-            columns=CANDIDATES.fieldNames(),
-        )
-
-    def close(self) -> None:
-        pass
+NAME = ["event_id", "label"]
+#: Groups that the rows of one micro-batch are sorted in, whole events each.
+GROUPS = 4096
+
+
+def best_of_batch(rows: pa.Table) -> pa.Table:
+    """Of the rows of a micro-batch one per name: a valid one, else the first by event number and place."""
+    rows = rows.sort_by([(c, "ascending") for c in ("id", "dead_letter", "pos")])
+    names = rows.group_by(NAME, use_threads=False).aggregate([(c, "first") for c in ("id", "pos", "dead_letter")])
+    names = names.rename_columns([c.removesuffix("_first") for c in names.column_names])
+    return names.select(CANDIDATES.fieldNames())
+
+
+def first_names(candidates: DataFrame, keep: int) -> DataFrame:
+    """Lets the first row of every name of an event through. Names are forgotten ``keep`` seconds
+    after they were seen, by the clock of the micro-batches: no row is late for that."""
+    best = (
+        candidates.groupBy(F.pmod(F.xxhash64("event_id"), F.lit(GROUPS)))
+        .applyInArrow(lambda rows: best_of_batch(rows.select(CANDIDATES.fieldNames())), CANDIDATES)
+    )
+    # Forgotten when the watermark, half of it behind the clock, is half of it behind the row.
+    seen = best.withColumn("seen", F.current_timestamp()).withWatermark("seen", f"{keep // 2} seconds")
+    return seen.dropDuplicatesWithinWatermark(NAME).select(*CANDIDATES.fieldNames())

@@ -2,11 +2,14 @@
 
 import glob
 
+from outboxlake.options import Options
 from outboxlake.streaming import lifecycle
 from outboxlake.streaming import queries as streams
 
 from .conftest import T0
 
+NONE = Options(batch_size=None, jitter="none")
+
 
 def _state_stores(spark, stream, path, monkeypatch):
     """Partitions of the state that `run_to_table` leaves, with many shuffle partitions set."""
@@ -29,3 +32,15 @@ def test_lifecycle_opens_one_state_store_per_core(spark, tmp_path, monkeypatch):
     stream = lifecycle.stream_lifecycle(spark.readStream.schema(messages.schema).parquet(str(tmp_path / "in")))
     got, stores = _state_stores(spark, stream, str(tmp_path), monkeypatch)
     assert len(got) == 20 and stores == spark.sparkContext.defaultParallelism
+
+
+def test_dedupe_keeps_names_without_python_state(spark, make_events, tmp_path, monkeypatch):
+    two = '[{"name": "abc_1", "url": 5}, {"name": "abc_2", "url": 5}]'
+    events = make_events(*[two] * 20, names=[f"e{k % 5}" for k in range(20)])
+    events.write.parquet(str(tmp_path / "in"))
+    stream = streams.stream_dedupe(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), NONE)
+    assert "TransformWithState" not in stream._jdf.queryExecution().toString()
+    got, stores = _state_stores(spark, stream, str(tmp_path), monkeypatch)
+    # The first arrival of each of five events, in 20 rows of one micro-batch.
+    assert sorted((r.id, r.label) for r in got) == [(k + 1, f"abc_{n}") for k in range(5) for n in (1, 2)]
+    assert stores == spark.sparkContext.defaultParallelism
