@@ -3,6 +3,7 @@
 import glob
 
 from outboxlake.options import Options
+from outboxlake.sources import tables
 from outboxlake.streaming import lifecycle
 from outboxlake.streaming import queries as streams
 
@@ -44,3 +45,14 @@ def test_dedupe_keeps_names_without_python_state(spark, make_events, tmp_path, m
     # The first arrival of each of five events, in 20 rows of one micro-batch.
     assert sorted((r.id, r.label) for r in got) == [(k + 1, f"abc_{n}") for k in range(5) for n in (1, 2)]
     assert stores == spark.sparkContext.defaultParallelism
+
+
+def test_rows_of_a_hot_key_are_not_joined_by_it(make_events):
+    n = 40
+    names = ["hot" if k % 2 else f"e{k}" for k in range(n)]
+    good = '[{"name": "send_email"}]'
+    checked = tables.check_events(make_events(*[good] * n, ids=[k // 4 for k in range(n)], names=names))
+    # A join of the refused rows by their key would bring those of a hot one into one task.
+    assert "Join Inner" not in checked.rejected._jdf.queryExecution().optimizedPlan().toString()
+    assert checked.rows.filter("event_id = 'hot'").count() == 1
+    assert checked.rejected.agg({"copies": "sum"}).first()[0] == n // 2 - 1
