@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outboxlake.functions import times
+from outboxlake.functions import variant as vj
 from outboxlake.functions.text import cut_utf8
 from outboxlake.operators import fanout
 from outboxlake.operators.numbering import dense_ids
@@ -142,7 +143,7 @@ def schedule_deliveries(
 def rejects(events: DataFrame, opts: Options) -> DataFrame:
     """Refused callbacks with their reason; oversized payloads have none."""
     judged = fanout.judge_callbacks(events, opts)
-    return judged.filter(~F.col("valid")).select(
+    return vj.filter_once(judged, ~F.col("valid")).select(
         "id",
         "event_id",
         "kind",
@@ -157,11 +158,8 @@ def rejects(events: DataFrame, opts: Options) -> DataFrame:
 
 def accepted_events(events: DataFrame, opts: Options) -> DataFrame:
     """Events that reached the split into valid and invalid callbacks."""
-    return (
-        fanout.classify_events(events, opts)
-        .filter(F.col("branch") == fanout.CHECKED)
-        .select(*fanout.EVENT_KEYS)
-    )
+    classified = fanout.classify_events(events, opts)
+    return vj.filter_once(classified, F.col("branch") == fanout.CHECKED).select(*fanout.EVENT_KEYS)
 
 
 def recover_cursor(events: DataFrame, deliveries: DataFrame) -> DataFrame:
