@@ -2,6 +2,7 @@
 
 import glob
 
+from outboxlake.operators import fanout
 from outboxlake.options import Options
 from outboxlake.sources import tables
 from outboxlake.streaming import lifecycle
@@ -56,3 +57,9 @@ def test_rows_of_a_hot_key_are_not_joined_by_it(make_events):
     assert "Join Inner" not in checked.rejected._jdf.queryExecution().optimizedPlan().toString()
     assert checked.rows.filter("event_id = 'hot'").count() == 1
     assert checked.rejected.agg({"copies": "sum"}).first()[0] == n // 2 - 1
+
+
+def test_callbacks_are_parsed_in_one_place(make_events):
+    for build in (fanout.dedupe_callback_names, fanout.resolve_targets, fanout.corrupt_events):
+        plan = build(make_events("[]").repartition(3), NONE)._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("parseJson" in line for line in plan.splitlines()) == 1, build.__name__
