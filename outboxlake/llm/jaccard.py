@@ -12,15 +12,20 @@ How it scales:
    passages that many texts share out of the way. Which shingles count as frequent only
    changes the cost, never the result. Texts that share fewer than k with others drop out.
 3. Blocks of texts exchange each of these shingles once (smallest text only) and get the
-   shingles back that other texts hold too, with the smallest text that holds it: its pivot.
-   Texts with a common pivot form a tile, and every linked pair meets in a tile.
-4. Pivot links are checked first (count bound, then sets). Tiles that are one component by
+   shingles back that other texts hold too, with the smallest text that holds it, its pivot,
+   and about how many do. Texts with a common pivot form a tile. A text with h such shingles
+   and no partner with fewer than k in common joins the tiles of its h - k + 1 rarest only:
+   the rarest one that a linked pair shares is among them for both, so they meet in its tile.
+4. Shingles are hashed into groups, more of them for larger sets, and counted: the sum of
+   min(a, b) over the groups bounds the overlap. Only texts that a bound leaves with a
+   partner get their sets built and moved.
+5. Pivot links are checked first (count bound, then sets). Tiles that are one component by
    then are done; this is linear in the links, also for a group of thousands of copies.
-5. Other tiles are searched through an R-tree over count vectors: shingles are hashed into
-   groups, a node keeps the largest count per group, and sum(min(a, node)) bounds the
-   overlap. Members left with a partner in another component come back with their sets, on
-   which surviving pairs are checked. Large tiles are split into chunks; only members
-   outside the tile's main component visit all chunks.
+6. Other tiles are cut into cells of like sizes (a factor of two, and those below that may
+   link into it) and searched through an R-tree over the count vectors, where a node keeps
+   the largest count per group. Members left with a partner in another component come back
+   with their sets, on which surviving pairs are checked. Large cells are split into chunks;
+   only members outside the cell's main component visit all chunks.
 
 Null texts and texts without words have no shingles and link with nothing. Repeated ids
 keep their rows; each row gets the class of its own text. Rows with a null id get a null
@@ -42,7 +47,8 @@ from outboxlake.llm.components import Forest, components
 from outboxlake.llm.store import prepare, stored
 
 WORDS = 5
-GROUPS = 256
+#: Groups of a count vector, as powers of two: about one to two for each shingle.
+LEAST_GROUPS, MOST_GROUPS = 8, 15
 #: Shingles that a linked pair shares in its prefixes, by the size of the sets.
 SHARED = ((22, 16), (11, 8), (1, 3))
 #: Entries of the list of frequent shingles that is sent to all tasks (8 bytes each).
@@ -51,6 +57,8 @@ CHUNK = 256
 #: Bytes kept of a prefix shingle's hash, and those that travel beside its bucket. Shingles
 #: that agree in them only add candidates; pairs are checked on whole hashes.
 PREFIX_BYTES, KEY_BYTES = 6, 5
+#: Bytes of a whole hash.
+HASH_BYTES = 7
 LEAF = 16
 _MASK = np.uint64((1 << 56) - 1)
 
@@ -79,21 +87,25 @@ def shingles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return keys & _MASK, bs.group_starts((keys >> np.uint64(56)).astype(np.int64), n)
 
 
-def count_vectors(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    n = len(at) - 1
-    of = np.repeat(np.arange(n), np.diff(at))
-    group = (hashes >> np.uint64(20)).astype(np.int64) % GROUPS
-    return np.bincount(of * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS)
+def groups_of(sizes: np.ndarray) -> np.ndarray:
+    """The next power of two above the size of each set, within bounds."""
+    return 1 << np.clip(np.frexp(sizes)[1], LEAST_GROUPS, MOST_GROUPS).astype(np.int64)
 
 
-def packed_counts(vector: np.ndarray) -> bytes:
-    """Two bytes a count, or four where a count needs them."""
-    return bs.packed(vector.astype(np.uint16 if vector.max(initial=0) < 1 << 16 else np.uint32))
+def packed_counts(hashes: np.ndarray) -> bytes:
+    """A set's count vector with one byte a count, or as many as the largest one needs."""
+    groups = int(groups_of(len(hashes)))
+    counts = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % groups, minlength=groups)
+    return bs.packed(counts.astype(np.min_scalar_type(counts.max())))
 
 
-def counts_of(values) -> np.ndarray:
-    kinds = {2 * GROUPS: np.uint16, 4 * GROUPS: np.uint32}
-    return np.stack([np.frombuffer(v, kinds[len(v)]).astype(np.int32) for v in values])
+def counts_of(values, sizes: np.ndarray) -> np.ndarray:
+    """The count vectors of sets, folded to the groups of the smallest one."""
+    own = groups_of(sizes)
+    groups = int(own.min())
+    counts = [np.frombuffer(v, f"u{len(v) // k}") for v, k in zip(values, own.tolist(), strict=True)]
+    counts = [c if len(c) == groups else c.reshape(-1, groups).sum(0) for c in counts]
+    return np.stack(counts).astype(np.min_scalar_type(max(int(c.max()) for c in counts)))
 
 
 def common_in_prefix(n: np.ndarray) -> np.ndarray:
@@ -250,7 +262,8 @@ def near_ids(value: bytes, n: int) -> np.ndarray:
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For every block of a bucket: which of its shingles another text holds too, and their pivots."""
+    """For every block of a bucket: which of its shingles another text holds too, their pivots, and
+    how many blocks hold them (up to 255)."""
     sizes = pdf["keys"].map(len).to_numpy() // KEY_BYTES
     keys = bs.widened(list(pdf["keys"]), KEY_BYTES)
     low = np.concatenate([near_ids(v, n) + base for v, base, n in zip(pdf["low"], pdf["base"], sizes, strict=True)])
@@ -262,8 +275,9 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     begin = np.flatnonzero(first)
     last = sorted_low[np.append(begin[1:], len(keys)) - 1]
     shared = (last != sorted_low[begin]) | (np.bitwise_or.reduceat(many[order], begin) > 0)
-    use, pivot = np.empty(len(keys), bool), np.empty(len(keys), np.int64)
-    use[order], pivot[order] = shared[run], sorted_low[begin][run]
+    held = np.minimum(np.diff(np.append(begin, len(keys))), 255).astype(np.uint8)
+    use, pivot, holders = np.empty(len(keys), bool), np.empty(len(keys), np.int64), np.empty(len(keys), np.uint8)
+    use[order], pivot[order], holders[order] = shared[run], sorted_low[begin][run], held[run]
     at = np.concatenate([[0], np.cumsum(sizes)])
     parts = [slice(a, b) for a, b in zip(at, at[1:], strict=False)]
     out = pd.DataFrame(
@@ -273,64 +287,67 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
             "size": sizes,
             "used": [bs.packed(np.packbits(use[k])) for k in parts],
             "pivots": [bs.packed(near(pivot[k][use[k]])) for k in parts],
+            "holders": [bs.packed(holders[k][use[k]]) for k in parts],
         }
     )
     return out[out["pivots"].map(len) > 0]
 
 
-_MET_DDL = "block string, start int, size int, used binary, pivots binary"
+_MET_DDL = "block string, start int, size int, used binary, pivots binary, holders binary"
 
 
 def _memberships(blocks: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-    """The distinct (text, pivot) pairs of one block, and its shared shingles of each text."""
-    none = pd.DataFrame({"doc_id": np.zeros(0, np.int64), "pivot": pd.array([], "Int64"), "shared": []})
+    """The distinct (text, pivot) pairs of one block, by the rarest shared shingles of each text."""
     if blocks.empty or back.empty:
-        return none
+        return pd.DataFrame({"doc_id": np.zeros(0, np.int64), "pivot": np.zeros(0, np.int64)})
     row = blocks.iloc[0]
     own = bs.widened([row["prefix"]], PREFIX_BYTES)
     ids, lengths = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int32)
+    needs = np.frombuffer(row["needs"], np.int32)
     owner = np.repeat(np.arange(len(ids)), lengths)
     distinct, number = np.unique(own, return_inverse=True)
-    used, pivots = np.zeros(len(distinct), bool), np.zeros(len(distinct), np.int64)
-    for start, size, bits, low in zip(back["start"], back["size"], back["used"], back["pivots"], strict=True):
+    used, pivots, holders = np.zeros(len(distinct), bool), np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.uint8)
+    for start, size, bits, low, held in zip(back["start"], back["size"], back["used"], back["pivots"], back["holders"], strict=True):
         at = start + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=size))
-        used[at], pivots[at] = True, near_ids(low, len(at))
-    hit = used[number]
-    enough = np.bincount(owner[hit], minlength=len(ids)) >= np.frombuffer(row["needs"], np.int32)
-    hit &= enough[owner]
-    pairs = pd.DataFrame({"doc_id": ids[owner[hit]], "pivot": pivots[number[hit]]}).drop_duplicates()
-    pairs["pivot"] = pairs["pivot"].astype("Int64")
-    order = np.lexsort((own[hit], owner[hit]))
-    shared, of = own[hit][order], owner[hit][order]
-    cut = np.searchsorted(of, np.arange(len(ids) + 1))
-    full = np.flatnonzero(np.diff(cut))
-    lists = pd.DataFrame({"doc_id": ids[full], "shared": [bs.squeezed(shared[cut[k] : cut[k + 1]], PREFIX_BYTES) for k in full]})
-    return pd.concat([pairs, lists])[["doc_id", "pivot", "shared"]]
+        used[at], pivots[at], holders[at] = True, near_ids(low, len(at)), np.frombuffer(held, np.uint8)
+    owner, number = owner[used[number]], number[used[number]]
+    # The same order in all blocks; numbers are in the order of the shingles.
+    order = np.lexsort((number, holders[number], owner))
+    owner, number = owner[order], number[order]
+    at = bs.group_starts(owner, len(ids))
+    keep = np.arange(len(owner)) - at[owner] <= (np.diff(at) - needs)[owner]
+    return pd.DataFrame({"doc_id": ids[owner[keep]], "pivot": pivots[number[keep]]}).drop_duplicates()
 
 
-_SETS_DDL = "doc_id long, n long, vector binary, shingles binary"
+_VECTORS_DDL = "doc_id long, n long, vector binary"
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("vector", pa.binary())])
+    for piece in bs.pieces(batches):
+        hashes, at = shingles(piece)
+        vectors = [packed_counts(hashes[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        yield bs.batch_of(schema, piece.column("doc_id").to_pylist(), np.diff(at), vectors)
+
+
+_SETS_DDL = "doc_id long, n long, shingles binary"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("vector", pa.binary()), ("shingles", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
     for piece in bs.pieces(batches):
         hashes, at = shingles(piece)
-        vectors = count_vectors(hashes, at)
-        yield bs.batch_of(
-            schema,
-            piece.column("doc_id").to_pylist(),
-            np.diff(at),
-            [packed_counts(v) for v in vectors],
-            [bs.packed(hashes[a:b]) for a, b in zip(at, at[1:], strict=False)],
-        )
+        sets = [bs.squeezed(hashes[a:b], HASH_BYTES) for a, b in zip(at, at[1:], strict=False)]
+        yield bs.batch_of(schema, piece.column("doc_id").to_pylist(), np.diff(at), sets)
 
 
 def _within_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            bound = np.minimum(counts_of(batch.column("vector").to_pylist()), counts_of(batch.column("vector_b").to_pylist())).sum(1, dtype=np.int64)
-            total = batch.column("n").to_numpy() + batch.column("n_b").to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array(7 * bound >= 3 * total))
+        n, n_b = batch.column("n").to_numpy(), batch.column("n_b").to_numpy()
+        vectors = zip(batch.column("vector").to_pylist(), batch.column("vector_b").to_pylist(), strict=True)
+        both = [counts_of(pair, np.array(sizes)) for pair, *sizes in zip(vectors, n, n_b, strict=True)]
+        bound = np.array([np.minimum(*pair).sum(dtype=np.int64) for pair in both], np.int64)
+        yield batch.select(["a", "b"]).filter(pa.array(7 * bound >= 3 * (n + n_b)))
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -352,7 +369,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = [
-            linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+            linked(bs.widened([x], HASH_BYTES), bs.widened([y], HASH_BYTES))
             for x, y in zip(batch.column("shingles").to_pylist(), batch.column("shingles_b").to_pylist(), strict=True)
         ]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -389,10 +406,11 @@ class CountTree:
             fits = (4 * large[node] >= 3 * own) & (3 * small[node] <= 4 * own)
             query, node = query[fits], node[fits]
             keep = np.zeros(len(query), bool)
-            for a in range(0, len(query), 8192):
-                q, x = query[a : a + 8192], node[a : a + 8192]
+            step = (1 << 21) // vectors.shape[1]
+            for a in range(0, len(query), step):
+                q, x = query[a : a + step], node[a : a + step]
                 bound = np.minimum(vectors[q], top[x]).sum(1, dtype=np.int64)
-                keep[a : a + 8192] = 7 * bound >= 3 * (sizes[q] + small[x])
+                keep[a : a + step] = 7 * bound >= 3 * (sizes[q] + small[x])
             query, node = query[keep], node[keep]
         return query, self.order[node]
 
@@ -403,9 +421,13 @@ def _candidates(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarr
     left = visitors if len(visitors) else residents
     if residents.empty:
         return residents, left, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    tree = CountTree(counts_of(residents["vector"]), residents["n"].to_numpy())
-    q, x = tree.candidates(counts_of(left["vector"]), left["n"].to_numpy())
+    vectors, visits = counts_of(pdf["vector"], pdf["n"].to_numpy()), pdf["visits"].to_numpy()
+    left_n, right_n = left["n"].to_numpy(), residents["n"].to_numpy()
+    tree = CountTree(vectors[~visits], right_n)
+    q, x = tree.candidates(vectors[visits] if len(visitors) else vectors, left_n)
     keep = left["component"].to_numpy()[q] != residents["component"].to_numpy()[x]
+    # Two members from below the cell's sizes meet in the cell below.
+    keep &= np.maximum(left_n[q], right_n[x]) >= 1 << int(pdf["cell"].iloc[0]) - 1
     if not len(visitors):
         keep &= left["doc_id"].to_numpy()[q] < residents["doc_id"].to_numpy()[x]
     return residents, left, q[keep], x[keep]
@@ -414,33 +436,37 @@ def _candidates(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarr
 def _active(pdf: pd.DataFrame) -> pd.DataFrame:
     """The members of one chunk that have a possible partner in another component."""
     residents, left, q, x = _candidates(pdf)
-    left_lists = [bs.widened([v], PREFIX_BYTES) for v in left["shared"]]
-    right_lists = [bs.widened([v], PREFIX_BYTES) for v in residents["shared"]]
-    need = np.minimum(common_in_prefix(left["n"].to_numpy())[q], common_in_prefix(residents["n"].to_numpy())[x])
-    keep = [common(left_lists[i], right_lists[j]) >= k for i, j, k in zip(q.tolist(), x.tolist(), need.tolist(), strict=True)]
-    q, x = q[np.array(keep, bool)], x[np.array(keep, bool)]
     rows = pd.concat([left.iloc[np.unique(q)], residents.iloc[np.unique(x)]])
     return rows[list(_PLACE)].drop_duplicates()
 
 
 def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     """New links between components in one chunk: residents among themselves, or with visitors."""
+    sets = [bs.widened([v], HASH_BYTES) for v in pdf.pop("shingles")]
+    pdf["vector"], pdf["row"] = [packed_counts(s) for s in sets], np.arange(len(pdf))
     residents, left, q, x = _candidates(pdf)
     left_id, right_id = left["doc_id"].to_numpy(), residents["doc_id"].to_numpy()
     left_root, right_root = left["component"].to_numpy(), residents["component"].to_numpy()
-    left_sets = [np.frombuffer(v, np.uint64) for v in left["shingles"]]
-    right_sets = [np.frombuffer(v, np.uint64) for v in residents["shingles"]]
+    left_row, right_row = left["row"].to_numpy(), residents["row"].to_numpy()
     forest, links = Forest(), []
     for i, j in zip(q.tolist(), x.tolist(), strict=True):
         a, b = int(left_root[i]), int(right_root[j])
-        if forest.find(a) != forest.find(b) and linked(left_sets[i], right_sets[j]):
+        if forest.find(a) != forest.find(b) and linked(sets[left_row[i]], sets[right_row[j]]):
             forest.join(a, b)
             links.append((int(left_id[i]), int(right_id[j])))
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
-_PLACE = ("pivot", "chunk", "from", "doc_id", "component", "visits")
-_PLACE_DDL = "pivot long, chunk long, `from` long, doc_id long, component long, visits boolean"
+_PLACE = ("pivot", "cell", "chunk", "from", "doc_id", "component", "visits")
+_PLACE_DDL = "pivot long, cell int, chunk long, `from` long, doc_id long, component long, visits boolean"
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of the texts with these ids (doc_id), written once."""
+    # Runtime filters are built from filtered scans only; conditions on stored steps that
+    # always hold (here and below) make them so.
+    ids = stored(ids.distinct().withColumn("asked", F.lit(1)), "asked").where("asked > 0")
+    return stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, _SETS_DDL), "sets").where("n > 0")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
@@ -466,57 +492,62 @@ def shingle_classes(docs: DataFrame) -> DataFrame:
     sent = blocks.select("block", "ids", "lengths", "prefix").mapInArrow(_send(buckets), _SENT_DDL)
     back = sent.groupBy("bucket").applyInPandas(_meet, _MET_DDL)
     own = blocks.select("block", "ids", "lengths", "needs", "prefix")
-    member = own.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(
-        _memberships, "doc_id long, pivot long, shared binary"
-    )
+    member = own.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_memberships, "doc_id long, pivot long")
     member = stored(member, "memberships")
-    shared = member.where("pivot is null").groupBy("doc_id").agg(F.min("shared").alias("shared"))
-    member = member.where("pivot is not null").drop("shared")
     reps = same.select("rep").distinct()
     member = member.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").distinct()
     crowd = member.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1")
-    member = stored(member.join(crowd, "pivot").select("doc_id", "pivot", "members"), "tiles")
-
-    # Runtime filters are built from filtered scans only; the conditions on stored steps that
-    # always hold (here and below) make them so. Members are representatives already.
-    texts = docs.join(member.where("members > 1").select("doc_id"), "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(_sets, _SETS_DDL), "sets").where("n > 0")
-
-    star = member.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    star = _with_sets(star, sets, "n", "vector").mapInArrow(_within_bound, "a long, b long")
-    star = stored(star, "bounded")
-    links = stored(_with_sets(star.where("a <> b"), sets, "shingles").select("a", "b", "shingles", "shingles_b").mapInArrow(_checked, "a long, b long"), "links")
+    member = stored(member.join(crowd, "pivot").select("doc_id", "pivot", "members"), "tiles").where("members > 1")
+
+    # Members are representatives already.
+    texts = docs.join(member.select("doc_id"), "doc_id", "left_semi")
+    vectors = stored(texts.mapInArrow(_vectors, _VECTORS_DDL), "vectors").where("n > 0")
+    sizes = vectors.select("doc_id", "n").distinct()
+
+    star = member.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+    star = _with_sets(star, sizes, "n").where("4 * n >= 3 * n_b and 4 * n_b >= 3 * n").select("a", "b").distinct()
+    star = _with_sets(star, vectors, "n", "vector").mapInArrow(_within_bound, "a long, b long").distinct()
+    star = stored(star, "bounded").where("a <> b")
+    sets = _sets_of(docs, star.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    links = stored(_with_sets(star, sets, "shingles").select("a", "b", "shingles", "shingles_b").mapInArrow(_checked, "a long, b long"), "links")
     known = components(links)
 
-    placed = member.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.select("pivot", "doc_id", "members", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("pivot").agg(
+    placed = member.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(sizes, "doc_id")
+    # A cell holds sizes of as many binary digits, and those below that may link to them.
+    digits = F.length(F.bin("n"))
+    reaches = F.col("n") * 4 >= F.lit(3) * F.expr("shiftleft(1L, length(bin(n)))")
+    cells = F.explode(F.when(reaches, F.array(digits, digits + 1)).otherwise(F.array(digits)))
+    placed = placed.select("pivot", cells.alias("cell"), "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    tile = ("pivot", "cell")
+    mixed = placed.groupBy(*tile).agg(
         F.min("component").alias("low"),
         F.max("component").alias("high"),
         F.count("*").alias("all"),
         F.max((F.col("doc_id") == F.col("pivot")).cast("int")).alias("has_pivot"),
+        F.max(digits).alias("most"),
     )
     # The pivot itself has been compared with every member.
-    mixed = mixed.where("low <> high and all - has_pivot > 1")
-    placed = stored(placed.join(mixed.select("pivot"), "pivot", "left_semi"), "mixed")
-    parts = placed.groupBy("pivot", "component").agg(F.count("*").alias("k"))
-    main = parts.groupBy("pivot").agg(F.max(F.struct("k", "component")).alias("top"))
-    placed = placed.join(main.select("pivot", F.col("top.component").alias("main")), "pivot")
-    chunks = F.ceil(F.col("members") / CHUNK)
+    mixed = mixed.where("low <> high and all - has_pivot > 1 and most = cell")
+    placed = stored(placed.join(mixed.select(*tile, "all"), [*tile]).drop("n"), "mixed")
+    parts = placed.groupBy(*tile, "component").agg(F.count("*").alias("k"))
+    main = parts.groupBy(*tile).agg(F.max(F.struct("k", "component")).alias("top"))
+    placed = placed.join(main.select(*tile, F.col("top.component").alias("main")), [*tile])
+    chunks = F.ceil(F.col("all") / CHUNK)
     placed = placed.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
-    home = placed.select("pivot", "chunk", F.lit(-1).cast("long").alias("from"), "doc_id", "component", F.lit(False).alias("visits"))
-    # In tiles of several chunks, members outside the main component meet every chunk, and
+    home = placed.select(*tile, "chunk", F.lit(-1).cast("long").alias("from"), "doc_id", "component", F.lit(False).alias("visits"))
+    # In cells of several chunks, members outside the main component meet every chunk, and
     # the residents are sent once more for each chunk of such visitors.
     outside = placed.where("chunks > 1 and component <> main")
-    groups = outside.select("pivot", F.col("chunk").alias("from")).distinct()
-    hosts = placed.where("chunks > 1").join(groups, "pivot").select("pivot", "chunk", "from", "doc_id", "component", F.lit(False).alias("visits"))
+    groups = outside.select(*tile, F.col("chunk").alias("from")).distinct()
+    hosts = placed.where("chunks > 1").join(groups, [*tile]).select(*tile, "chunk", "from", "doc_id", "component", F.lit(False).alias("visits"))
     guests = outside.select(
-        "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("to"), F.col("chunk").alias("from"), "doc_id", "component"
-    ).select("pivot", F.col("to").alias("chunk"), "from", "doc_id", "component", F.lit(True).alias("visits"))
-    key = ("pivot", "chunk", "from")
-    work = home.union(hosts).union(guests).join(sets.select("doc_id", "n", "vector"), "doc_id").join(shared, "doc_id")
-    active = stored(work.groupBy(*key).applyInPandas(_active, _PLACE_DDL), "active")
-    found = active.where("chunk >= 0").join(sets, "doc_id").groupBy(*key).applyInPandas(_search, "a long, b long")
+        *tile, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("to"), F.col("chunk").alias("from"), "doc_id", "component"
+    ).select(*tile, F.col("to").alias("chunk"), "from", "doc_id", "component", F.lit(True).alias("visits"))
+    key = (*tile, "chunk", "from")
+    work = home.union(hosts).union(guests).join(vectors, "doc_id")
+    active = stored(work.groupBy(*key).applyInPandas(_active, _PLACE_DDL), "active").where("chunk >= 0")
+    sets = _sets_of(docs, active.select("doc_id"))
+    found = active.join(sets, "doc_id").groupBy(*key).applyInPandas(_search, "a long, b long")
     links = links.union(stored(found, "found"))
     final = components(links)
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from outboxlake.llm import suffixes
+from outboxlake.llm import jaccard, suffixes
 from outboxlake.llm.components import components
 from outboxlake.llm.jaccard import shingle_classes
 from outboxlake.llm.suffixes import repeated_strings
@@ -53,6 +53,52 @@ def test_classes_of_many_near_copies(spark):
     assert got == brute.classes(rows)
 
 
+def _cut_texts(rng, n):
+    """Texts of many lengths from a few bases that share a passage, some words replaced."""
+    passage = [f"p{k}" for k in range(30)]
+    bases = [passage + [f"b{b}w{k}" for k in range(370)] for b in range(5)]
+    out = []
+    for _ in range(n):
+        text = rng.choice(bases)[: rng.randint(8, 400)]
+        for _ in range(rng.choice([0, 0, 1, 3, 6])):
+            text[rng.randrange(len(text))] = f"u{rng.randrange(50)}"
+        out.append(" ".join(text))
+    return out
+
+
+def test_classes_across_sizes_and_chunks(spark, monkeypatch):
+    """Links cross the sizes at which cells meet, and cells are split into several chunks."""
+    monkeypatch.setattr(jaccard, "CHUNK", 8)
+    rows, docs = _frame(spark, _cut_texts(random.Random(4), 260))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_classes(docs).collect()}
+    assert got == brute.classes(rows)
+
+
+def test_sets_of_long_texts_with_a_common_passage_stay(spark, monkeypatch):
+    """Sets are built for texts that a bound leaves with a partner, not for all that share shingles."""
+    rng, made = random.Random(6), []
+
+    def stored(df, label):
+        out = write(df, label)
+        if label == "sets":
+            made.extend(r.doc_id for r in out.collect())
+        return out
+
+    write = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", stored)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(8):
+        passage = fresh(2400)
+        texts += [" ".join(passage + fresh(3600)) for _ in range(2)]
+    base = fresh(6000)
+    texts += [" ".join(base), " ".join(base[:3000] + fresh(200) + base[3200:])]
+    rows, docs = _frame(spark, texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_classes(docs).collect()}
+    assert got == brute.classes(rows)
+    assert sorted(made) == sorted(d for d, _ in rows[-2:])
+
+
 def test_classes_of_odd_tables(spark):
     assert shingle_classes(spark.createDataFrame([], DDL)).collect() == []
     rows = [(1, "a b c d e f", "", 0.0), (1, "a b c d e f", "", 0.0), (None, "a b c d e f", "", 0.0), (2, None, "", 0.0)]
